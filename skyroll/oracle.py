@@ -276,3 +276,148 @@ ORACLE: dict[str, str] = {
 
 def oracle_sql() -> dict[str, str]:
     return dict(ORACLE)
+
+
+# ----------------------------------------------------------- step 5 - 7
+
+def D(x: str) -> str:
+    return f"CAST(round({x}, 6) AS DECIMAL(38,6))"
+
+
+_AIRLINE_COLS = ["carrier_delay", "weather_delay", "nas_delay", "security_delay", "late_delay",
+                 "arrival_delay", "departure_delay", "cancelled", "diverted"]
+_AIRPORT_COLS = ["arrival_delay", "departure_delay", "carrier_delay", "weather_delay",
+                 "nas_delay", "cancelled", "diverted"]
+_MONTH_COLS = ["arrival_delay", "departure_delay", "carrier_delay", "weather_delay", "cancelled"]
+_SUMMARY_COLS = ["avg_arrival_delay", "avg_departure_delay", "avg_carrier_delay",
+                 "avg_weather_delay", "avg_nas_delay", "avg_security_delay", "avg_late_delay",
+                 "cancelled_rate", "diverted_rate", "avg_distance"]
+
+
+def _keyed_sql(src: str, key: str, keys: str, cols: list[str], where: str) -> str:
+    decs = ", ".join(f"{D(c)} AS {c}" for c in cols)
+    return f"SELECT {key} AS item_key, {keys}, {decs} FROM {src} WHERE {where}"
+
+
+_KEYED_AIRLINES = _keyed_sql("airlines_out", "AIRLINE", "AIRLINE, flights", _AIRLINE_COLS,
+                             "AIRLINE IS NOT NULL")
+_MONTH_KEY = """printf('%04d-%02d', "YEAR", "MONTH")"""
+
+
+def _airport_top(where: str) -> str:
+    return (f"SELECT ORIGIN_AIRPORT, count(*) AS flights, "
+            f"{R('avg(ARRIVAL_DELAY)', 2)} AS arrival_delay, "
+            f"{R('avg(DEPARTURE_DELAY)', 2)} AS departure_delay, "
+            f"{R('avg(CARRIER_DELAY)', 2)} AS carrier_delay, "
+            f"{R('avg(WEATHER_DELAY)', 2)} AS weather_delay, {R('avg(NAS_DELAY)', 2)} AS nas_delay, "
+            f"{R('avg(CANCELLED)', 4)} AS cancelled, {R('avg(DIVERTED)', 4)} AS diverted "
+            f"FROM flights WHERE {where} GROUP BY ORIGIN_AIRPORT "
+            f"ORDER BY flights DESC, ORIGIN_AIRPORT ASC NULLS LAST LIMIT 50")
+
+
+_UPSERT = _q(
+    "SELECT * FROM old_items WHERE item_key NOT IN (SELECT item_key FROM new_items) "
+    "UNION ALL SELECT * FROM new_items",
+    f"early_top AS ({_airport_top('\"YEAR\" <= 2017')}),\n"
+    f"old_items AS ({_keyed_sql('early_top', 'ORIGIN_AIRPORT', 'ORIGIN_AIRPORT, flights', _AIRPORT_COLS, 'ORIGIN_AIRPORT IS NOT NULL')}),\n"
+    f"new_items AS ({_keyed_sql('airports_out', 'ORIGIN_AIRPORT', 'ORIGIN_AIRPORT, flights', _AIRPORT_COLS, 'ORIGIN_AIRPORT IS NOT NULL')})")
+
+_OUTPUT_COUNTS = """(SELECT 'airlines' AS output, count(*) AS rows FROM airlines_out
+  UNION ALL SELECT 'airports' AS output, count(*) AS rows FROM airports_out
+  UNION ALL SELECT 'monthly' AS output, count(*) AS rows FROM monthly_out
+  UNION ALL SELECT 'delaySummary' AS output, count(*) AS rows FROM summary_out)"""
+
+_REPLAY = """SELECT 'airlines' AS output, 'flight_airlines' AS store_table, count(*) AS written
+  FROM airlines_out WHERE AIRLINE IS NOT NULL
+  UNION ALL SELECT 'airports', 'flight_airports', count(*) FROM airports_out
+  WHERE ORIGIN_AIRPORT IS NOT NULL
+  UNION ALL SELECT 'monthly', 'flight_monthly', count(*) FROM monthly_out
+  WHERE "YEAR" IS NOT NULL AND "MONTH" IS NOT NULL
+  UNION ALL SELECT 'delaySummary', 'flight_summary', count(*) FROM summary_out"""
+
+HOLIDAYS = """
+hp AS (SELECT CAST(year(o_orderdate) + 20 AS INTEGER) AS "year",
+  CAST(o_orderkey AS BIGINT) AS position,
+  printf('%04d-%02d-%02d', year(o_orderdate) + 20, month(o_orderdate), day(o_orderdate)) AS date,
+  CASE WHEN o_custkey % 10 <> 0 THEN concat('Day ', CAST(o_custkey % 50 AS VARCHAR)) END AS name,
+  CASE WHEN o_custkey % 15 <> 0 THEN o_orderpriority END AS localName,
+  CASE WHEN o_custkey % 11 <> 0 THEN o_orderstatus = 'F' END AS fixed,
+  CASE WHEN o_custkey % 7 <> 0 THEN o_totalprice > 150000 END AS "global",
+  CASE WHEN o_custkey % 3 <> 0 THEN ['Public', o_orderpriority] END AS types
+  FROM orders),
+hn AS (SELECT date, coalesce(name, '') AS name, coalesce(localName, '') AS localName, "year",
+  CAST(split_part(date, '-', 2) AS INTEGER) AS "month",
+  CAST(split_part(date, '-', 3) AS INTEGER) AS "day",
+  coalesce(fixed, false) AS fixed, coalesce("global", false) AS "global",
+  coalesce(types, CAST([] AS VARCHAR[])) AS types, position FROM hp),
+hs AS (SELECT date, name, localName, "year", "month", "day", fixed, "global", types FROM (
+  SELECT *, row_number() OVER (PARTITION BY date ORDER BY "year" DESC, position DESC) AS rn
+  FROM hn) WHERE rn = 1)"""
+
+
+def _h(body: str) -> str:
+    return f"WITH {HOLIDAYS}\n{body}"
+
+
+_MEASURES = [("ARRIVAL_DELAY", 2), ("DEPARTURE_DELAY", 2), ("CARRIER_DELAY", 2),
+             ("WEATHER_DELAY", 2), ("NAS_DELAY", 2), ("SECURITY_DELAY", 2),
+             ("LATE_AIRCRAFT_DELAY", 2), ("CANCELLED", 4), ("DIVERTED", 4), ("DISTANCE", 2)]
+
+
+def _grain(name: str, keys: dict[str, str], group: str) -> str:
+    key_sql = ", ".join(f"{expr} AS {col}" for col, expr in keys.items())
+    means = ", ".join(f"{R(f'avg({m})', d)} AS {m}" for m, d in _MEASURES)
+    tail = f" GROUP BY {group}" if group else ""
+    return (f"SELECT '{name}' AS grain, {key_sql}, count(*) AS n, {means}, "
+            f"min(\"YEAR\") AS min_year, max(\"YEAR\") AS max_year FROM flights{tail}")
+
+
+_NULLS = {"AIRLINE": "CAST(NULL AS VARCHAR)", "ORIGIN_AIRPORT": "CAST(NULL AS VARCHAR)",
+          '"YEAR"': "CAST(NULL AS INTEGER)", '"MONTH"': "CAST(NULL AS INTEGER)"}
+
+
+def _keys(**grouped: str) -> dict[str, str]:
+    out = dict(_NULLS)
+    for col in grouped.values():
+        out[col] = col
+    return out
+
+
+_GRAINS = " UNION ALL ".join([
+    _grain("airline", _keys(a="AIRLINE"), "AIRLINE"),
+    _grain("airport", _keys(a="ORIGIN_AIRPORT"), "ORIGIN_AIRPORT"),
+    _grain("month", _keys(a='"YEAR"', b='"MONTH"'), '"YEAR", "MONTH"'),
+    _grain("all", _keys(), ""),
+])
+
+ORACLE.update({
+    "keyed_items_airlines": _q(_KEYED_AIRLINES),
+    "keyed_items_airports": _q(_keyed_sql("airports_out", "ORIGIN_AIRPORT",
+                                          "ORIGIN_AIRPORT, flights", _AIRPORT_COLS,
+                                          "ORIGIN_AIRPORT IS NOT NULL")),
+    "keyed_items_monthly": _q(_keyed_sql("monthly_out", _MONTH_KEY, '"YEAR", "MONTH", flights',
+                                         _MONTH_COLS, '"YEAR" IS NOT NULL AND "MONTH" IS NOT NULL')),
+    "keyed_items_summary": _q(_keyed_sql("summary_out", "'global'",
+                                         "total_flights, min_year, max_year", _SUMMARY_COLS,
+                                         "true")),
+    "keyed_upsert": _UPSERT,
+    "keyed_store_roundtrip": _UPSERT,
+    "json_roundtrip": _q("SELECT * FROM airlines_out"),
+    "csv_roundtrip": _q("SELECT * FROM airlines_out"),
+    "served_read": _q(f"SELECT *, 'store' AS data_source FROM ({_KEYED_AIRLINES})"),
+    "served_read_fallback": _q("SELECT *, 'json' AS data_source FROM airlines_out"),
+    "readiness": _q(f"SELECT output, rows, rows > 0 AS ready, "
+                    f"bool_and(rows > 0) OVER () AS all_ready FROM {_OUTPUT_COUNTS}"),
+    "replay_load": _q(_REPLAY),
+    "holiday_records": _h("SELECT * EXCLUDE (position) FROM hn"),
+    "holidays_normalised": _h("SELECT * FROM hs"),
+    "holidays_by_date": _h("SELECT * FROM hs"),
+    "holidays_archive_roundtrip": _h("SELECT * FROM hs"),
+    "all_grains": _q(_GRAINS),
+    "grains_by_airline": _q("SELECT * FROM airlines_out"),
+    "grains_by_airport_top50": _q("SELECT * FROM airports_out"),
+    "grains_by_month": _q("SELECT * FROM monthly_out"),
+    "grains_summary": _q("SELECT * FROM summary_out"),
+    "run_source_profile": ORACLE["source_profile"],
+    "run_null_airline": ORACLE["null_airline_check"],
+})

@@ -2,9 +2,10 @@
 
 A fresh run stores each aggregate in the keyed store, which skips rows with
 a NULL key; the served tables are therefore the aggregates minus NULL-key
-rows. All four are re-aggregations of one partial rollup, so a plan that
-uses several of them scans the fact once: the rollup's shuffle exchange is
-identical in every branch and Spark reuses it (``ReusedExchange``).
+rows. All four come from one grouping-sets aggregate over the fact
+(``grain_table``), so a plan that uses several of them scans the fact once:
+the aggregate's shuffle exchange is identical in every branch and Spark
+reuses it (``ReusedExchange``).
 """
 
 from __future__ import annotations
@@ -15,8 +16,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyroll.operators.aggregates import (
-    airline_from_rollup, airport_top_from_rollup, flight_rollup, month_from_rollup,
-    summary_from_rollup,
+    airline_from_grains, airline_from_rollup, airport_top_from_grains, airport_top_from_rollup,
+    grain_table, month_from_grains, month_from_rollup, summary_from_grains, summary_from_rollup,
 )
 
 
@@ -55,6 +56,15 @@ def outputs_from_rollup(rollup: DataFrame) -> Outputs:
     )
 
 
+def outputs_from_grains(table: DataFrame) -> Outputs:
+    return Outputs(
+        airlines=airline_from_grains(table),
+        airports=airport_top_from_grains(table),
+        monthly=month_from_grains(table),
+        summary=summary_from_grains(table),
+    )
+
+
 def served_from_outputs(out: Outputs) -> Served:
     return Served(
         airlines=out.airlines.filter(F.col("AIRLINE").isNotNull()),
@@ -65,4 +75,4 @@ def served_from_outputs(out: Outputs) -> Served:
 
 
 def served_from_flights(flights: DataFrame) -> Served:
-    return served_from_outputs(outputs_from_rollup(flight_rollup(flights)))
+    return served_from_outputs(outputs_from_grains(grain_table(flights)))

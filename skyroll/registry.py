@@ -15,9 +15,18 @@ from pyspark.sql import DataFrame, SparkSession
 from skyroll.operators import aggregates as agg
 from skyroll.operators import checks, insights, rankings
 from skyroll.operators.standardise import flights_from_sources, standardise
-from skyroll.plans.dashboard import outputs_from_rollup, served_from_flights
-from skyroll.schemas import source_specs
+from skyroll.plans.dashboard import outputs_from_grains, served_from_flights
+from skyroll.plans.replay import replay
+from skyroll.plans.run import run
+from skyroll.schemas import KEYED_OUTPUTS, source_specs
+from skyroll.session import scratch_path
+from skyroll.sinks.csv_out import write_csv
+from skyroll.sinks.json_out import write_json_output
+from skyroll.sinks.keyed import KeyedStore, keyed_items, merge_items
+from skyroll.sources import holidays as hol
 from skyroll.sources.fixture import fixture_sources
+from skyroll.sources.json_lines import read_json_output
+from skyroll.sources.served import load_dataset
 
 # Eligibility floor for the best / worst carrier insight at the test scale:
 # carriers have 3,328-3,601 flights at sf0.01, so both sides occur.
@@ -43,7 +52,91 @@ def served(spark: SparkSession, sf_dir: str):
 
 
 def _outputs(spark: SparkSession, sf_dir: str):
-    return outputs_from_rollup(agg.flight_rollup(flights(spark, sf_dir)))
+    return outputs_from_grains(agg.grain_table(flights(spark, sf_dir)))
+
+
+def _keyed(name: str) -> Query:
+    def q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return keyed_items(_outputs(spark, sf_dir).as_dict()[name], KEYED_OUTPUTS[name][1])
+    return q
+
+
+def _upsert_batches(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """An earlier run over the 2015 layout only, then a run over both."""
+    raw = raw_sources(spark, sf_dir)
+    early = agg.by_airport_top(standardise(raw["2015"], _spec("2015")))
+    full = agg.by_airport_top(flights_from_sources(raw))
+    return keyed_items(early, "ORIGIN_AIRPORT"), keyed_items(full, "ORIGIN_AIRPORT")
+
+
+def keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = _upsert_batches(spark, sf_dir)
+    return merge_items(old, new)
+
+
+def keyed_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    old, new = _upsert_batches(spark, sf_dir)
+    store = KeyedStore(spark, scratch_path(spark, "store"), "flight_airports")
+    store.upsert(old)
+    store.upsert(new)
+    return store.read()
+
+
+def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    airlines = agg.by_airline(flights(spark, sf_dir))
+    folder = scratch_path(spark, "json") + "/airlines"
+    write_json_output(airlines, folder)
+    return read_json_output(spark, folder, airlines.schema)
+
+
+def csv_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    airlines = agg.by_airline(flights(spark, sf_dir))
+    folder = scratch_path(spark, "csv") + "/airlines"
+    write_csv(airlines, folder)
+    return (spark.read.schema(airlines.schema).option("header", "true")
+            .option("escape", '"').csv(folder))
+
+
+def _run_into_scratch(spark: SparkSession, sf_dir: str, with_store: bool):
+    root = scratch_path(spark, "run")
+    store_root = f"{root}/store" if with_store else None
+    result = run(spark, raw_sources(spark, sf_dir), f"{root}/json", store_root)
+    return root, result
+
+
+def served_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root, result = _run_into_scratch(spark, sf_dir, with_store=True)
+    store = KeyedStore(spark, f"{root}/store", KEYED_OUTPUTS["airlines"][0])
+    return load_dataset(spark, store, f"{root}/json/airlines", result.outputs.airlines.schema)
+
+
+def served_read_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root, result = _run_into_scratch(spark, sf_dir, with_store=False)
+    store = KeyedStore(spark, f"{root}/store", KEYED_OUTPUTS["airlines"][0])
+    return load_dataset(spark, store, f"{root}/json/airlines", result.outputs.airlines.schema)
+
+
+def run_source_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run_into_scratch(spark, sf_dir, with_store=False)[1].source_profile
+
+
+def run_null_airline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _run_into_scratch(spark, sf_dir, with_store=False)[1].null_airline
+
+
+def replay_load(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root, _ = _run_into_scratch(spark, sf_dir, with_store=False)
+    return replay(spark, f"{root}/json", f"{root}/replayed")
+
+
+def _payload(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hol.holiday_payloads(spark.read.parquet(f"{sf_dir}/orders.parquet"))
+
+
+def holidays_archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = scratch_path(spark, "holidays")
+    hol.archive_holidays(_payload(spark, sf_dir), root)
+    return hol.holiday_store(hol.read_holiday_archive(spark, root))
 
 
 QUERIES: dict[str, Query] = {
@@ -86,7 +179,33 @@ QUERIES: dict[str, Query] = {
     "kpi_rows": lambda s, d: insights.kpi_rows(served(s, d).summary),
     "insights": lambda s, d: (lambda v: insights.insights(v.airlines, v.airports, v.monthly,
                                                           v.summary, MIN_FLIGHTS))(served(s, d)),
-    # step 7: rollup form of the four aggregates
+    # step 5: keyed items, upsert, sinks and served reads
+    "keyed_items_airlines": _keyed("airlines"),
+    "keyed_items_airports": _keyed("airports"),
+    "keyed_items_monthly": _keyed("monthly"),
+    "keyed_items_summary": _keyed("delaySummary"),
+    "keyed_upsert": keyed_upsert,
+    "keyed_store_roundtrip": keyed_store_roundtrip,
+    "json_roundtrip": json_roundtrip,
+    "csv_roundtrip": csv_roundtrip,
+    "served_read": served_read,
+    "served_read_fallback": served_read_fallback,
+    "readiness": lambda s, d: checks.readiness(_outputs(s, d).as_dict()),
+    "replay_load": replay_load,
+    # step 6: holidays
+    "holiday_records": lambda s, d: hol.normalise_holidays(_payload(s, d)).drop("_order"),
+    "holidays_normalised": lambda s, d: hol.holiday_store(_payload(s, d)),
+    "holidays_by_date": lambda s, d: hol.holidays_by_date(hol.holiday_store(_payload(s, d))),
+    "holidays_archive_roundtrip": holidays_archive_roundtrip,
+    # step 7: one-pass forms and the full run
+    "all_grains": lambda s, d: agg.grain_table(flights(s, d)),
+    "grains_by_airline": lambda s, d: agg.airline_from_grains(agg.grain_table(flights(s, d))),
+    "grains_by_airport_top50": lambda s, d: agg.airport_top_from_grains(
+        agg.grain_table(flights(s, d))),
+    "grains_by_month": lambda s, d: agg.month_from_grains(agg.grain_table(flights(s, d))),
+    "grains_summary": lambda s, d: agg.summary_from_grains(agg.grain_table(flights(s, d))),
+    "run_source_profile": run_source_profile,
+    "run_null_airline": run_null_airline,
     "rollup_by_airline": lambda s, d: agg.airline_from_rollup(agg.flight_rollup(flights(s, d))),
     "rollup_by_airport_top50": lambda s, d: agg.airport_top_from_rollup(
         agg.flight_rollup(flights(s, d))),
