@@ -28,6 +28,21 @@ def to_int(c: Column) -> Column:
     return to_double(c).try_cast("int")
 
 
+def typed_sql(name: str, kind: str) -> str:
+    """The same rules as SQL text over column ``name`` (one expression string,
+    parsed on the JVM side; used for wide projections)."""
+    ref = f"`{name}`"
+    as_double = (f"CASE WHEN isnan(try_cast({ref} AS DOUBLE)) THEN NULL "
+                 f"ELSE try_cast({ref} AS DOUBLE) END")
+    if kind == "double":
+        return as_double
+    if kind == "int":
+        return f"try_cast({as_double} AS INT)"
+    if kind == "string":
+        return f"CAST({ref} AS STRING)"
+    raise ValueError(f"unsupported target type {kind!r}")
+
+
 def typed(c: Column, kind: str) -> Column:
     if kind == "double":
         return to_double(c)

@@ -23,7 +23,6 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyroll.functions.measures import mean_from_parts, rounded_mean
 from skyroll.schemas import (
     AIRLINE_DELAYS, AIRPORT_DELAYS, AIRPORT_TOP_N, DELAY_DIGITS, MEASURE_ALIAS,
     MONTHLY_DELAYS, RATE_DIGITS, RATES, SUMMARY_MEANS,
@@ -58,21 +57,25 @@ MONTHLY = AggSpec(("YEAR", "MONTH"), "flights",
 SUMMARY = AggSpec((), "total_flights", tuple(SUMMARY_MEANS), year_range=True)
 
 
+# Aggregate lists are written as SQL expression text: one JVM call per
+# expression instead of one per nested function, same Catalyst plan.
+
+def _year_range() -> list[Column]:
+    return [F.expr("min(YEAR) AS min_year"), F.expr("max(YEAR) AS max_year")]
+
+
 def _direct_columns(spec: AggSpec) -> list[Column]:
-    cols = [F.count(F.lit(1)).alias(spec.count_alias)]
-    cols += [rounded_mean(src, d).alias(alias) for alias, src, d in spec.means]
-    if spec.year_range:
-        cols += [F.min("YEAR").alias("min_year"), F.max("YEAR").alias("max_year")]
-    return cols
+    cols = [F.expr(f"count(1) AS {spec.count_alias}")]
+    cols += [F.expr(f"round(avg(`{src}`), {d}) AS `{alias}`") for alias, src, d in spec.means]
+    return cols + (_year_range() if spec.year_range else [])
 
 
 def _rollup_columns(spec: AggSpec) -> list[Column]:
-    cols = [F.sum("n").alias(spec.count_alias)]
-    cols += [mean_from_parts(F.sum(f"s_{src}"), F.sum(f"c_{src}"), d).alias(alias)
-             for alias, src, d in spec.means]
-    if spec.year_range:
-        cols += [F.min("YEAR").alias("min_year"), F.max("YEAR").alias("max_year")]
-    return cols
+    """``round(sum(s) / sum(c), d)``; NULL when nothing was counted (like ``avg``)."""
+    cols = [F.expr(f"sum(n) AS {spec.count_alias}")]
+    cols += [F.expr(f"round(try_divide(sum(`s_{src}`), CAST(sum(`c_{src}`) AS DOUBLE)), {d}) "
+                    f"AS `{alias}`") for alias, src, d in spec.means]
+    return cols + (_year_range() if spec.year_range else [])
 
 
 def _aggregate(df: DataFrame, spec: AggSpec, columns: list[Column]) -> DataFrame:
@@ -121,9 +124,9 @@ def flight_rollup(flights: DataFrame, extra_keys: tuple[str, ...] = ()) -> DataF
     Its size is bounded by carriers x airports x months, independent of the
     number of flights. ``extra_keys`` lets a run keep e.g. the source label.
     """
-    cols = [F.count(F.lit(1)).alias("n")]
+    cols = [F.expr("count(1) AS n")]
     for m in ROLLUP_MEASURES:
-        cols += [F.sum(m).alias(f"s_{m}"), F.count(m).alias(f"c_{m}")]
+        cols += [F.expr(f"sum(`{m}`) AS `s_{m}`"), F.expr(f"count(`{m}`) AS `c_{m}`")]
     return flights.groupBy(*extra_keys, *ROLLUP_KEYS).agg(*cols)
 
 
@@ -198,9 +201,9 @@ def grain_table(flights: DataFrame, extra_sets: dict[str, list[str]] | None = No
     keys = list(GRAIN_KEYS)
     for cols in sets.values():
         keys += [c for c in cols if c not in keys]
-    aggs = [F.grouping_id(*keys).alias("_gid"), F.count(F.lit(1)).alias("n")]
-    aggs += [rounded_mean(m, MEASURE_DIGITS[m]).alias(m) for m in ROLLUP_MEASURES]
-    aggs += [F.min("YEAR").alias("min_year"), F.max("YEAR").alias("max_year")]
+    aggs = [F.grouping_id(*keys).alias("_gid"), F.expr("count(1) AS n")]
+    aggs += [F.expr(f"round(avg(`{m}`), {MEASURE_DIGITS[m]}) AS `{m}`") for m in ROLLUP_MEASURES]
+    aggs += _year_range()
     table = flights.groupingSets([[F.col(c) for c in cols] for cols in sets.values()],
                                  *keys).agg(*aggs)
     gid_col = F.col("_gid")

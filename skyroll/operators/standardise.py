@@ -17,9 +17,8 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from skyroll.functions.casts import typed
+from skyroll.functions.casts import typed_sql
 from skyroll.schemas import SourceSpec, source_specs
 
 
@@ -44,12 +43,12 @@ def standardise(raw: DataFrame, spec: SourceSpec) -> DataFrame:
     positions = [_resolve(cols, src) for _, src, _ in spec.columns]
     if len({c.lower() for c in cols}) == len(cols):
         named = raw
-        refs = [F.col(f"`{cols[i]}`") for i in positions]
+        refs = [cols[i] for i in positions]
     else:
         named = raw.toDF(*[f"_c{i}" for i in range(len(cols))])
-        refs = [F.col(f"_c{i}") for i in positions]
-    return named.select([typed(ref, kind).alias(canon)
-                         for ref, (canon, _, kind) in zip(refs, spec.columns)])
+        refs = [f"_c{i}" for i in positions]
+    return named.selectExpr(*[f"{typed_sql(ref, kind)} AS `{canon}`"
+                              for ref, (canon, _, kind) in zip(refs, spec.columns)])
 
 
 def unify(parts: list[DataFrame]) -> DataFrame:

@@ -3,9 +3,12 @@
 A fresh run stores each aggregate in the keyed store, which skips rows with
 a NULL key; the served tables are therefore the aggregates minus NULL-key
 rows. All four come from one grouping-sets aggregate over the fact
-(``grain_table``), so a plan that uses several of them scans the fact once:
-the aggregate's shuffle exchange is identical in every branch and Spark
-reuses it (``ReusedExchange``).
+(``grain_table``). That table is materialised once with a reliable
+checkpoint: otherwise Catalyst pushes each consumer's grain filter and
+column pruning below the aggregate, every branch becomes a different plan,
+and a query that uses several served datasets would rebuild the fact once
+per branch. The grain table holds one row per carrier, airport, month and
+one global row, so its size is bounded whatever the fact size.
 """
 
 from __future__ import annotations
@@ -15,6 +18,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyroll.session import checkpointed
+
 from skyroll.operators.aggregates import (
     airline_from_grains, airline_from_rollup, airport_top_from_grains, airport_top_from_rollup,
     grain_table, month_from_grains, month_from_rollup, summary_from_grains, summary_from_rollup,
@@ -74,5 +79,8 @@ def served_from_outputs(out: Outputs) -> Served:
     )
 
 
-def served_from_flights(flights: DataFrame) -> Served:
-    return served_from_outputs(outputs_from_grains(grain_table(flights)))
+def served_from_flights(flights: DataFrame, materialise: bool = True) -> Served:
+    table = grain_table(flights)
+    if materialise:
+        table = checkpointed(table)
+    return served_from_outputs(outputs_from_grains(table))

@@ -85,3 +85,16 @@ def local_os_path(path: str) -> str:
 def ensure_local_dir(path: str) -> None:
     if is_local_path(path):
         os.makedirs(local_os_path(path), exist_ok=True)
+
+
+def checkpointed(df):
+    """Materialise a small result reliably and cut its lineage.
+
+    ``checkpoint()`` writes the rows to the shared checkpoint folder, so
+    every later use reads those files instead of re-running the plan, and a
+    lost executor does not send anyone back to the source scan. Use it only
+    for results whose size is bounded by the number of groups (e.g. the
+    grain table), never for fact-sized data.
+    """
+    checkpoint_root(df.sparkSession)
+    return df.checkpoint(eager=True)

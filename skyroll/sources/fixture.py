@@ -10,8 +10,7 @@ the layout split (year <= 2017 vs later) is a plain filter on top of it.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import DataFrame, SparkSession
 
 from skyroll.schemas import SourceSpec, source_specs
 
@@ -22,67 +21,75 @@ FIXTURE_COLUMNS = ["yr", "mo", "dy", "dow", "airline", "origin", "dest", "arr_de
 LAST_2015_YEAR = 2017
 
 
-def _s(c: Column) -> Column:
-    return c.cast("string")
-
-
-def _code(prefix: str, value: Column, width: int) -> Column:
-    return F.concat(F.lit(prefix), F.lpad(_s(value), width, "0"))
+# The generation rule as SQL expressions (FIXTURES.md, F6), evaluated in one
+# projection. "Cause" columns are set only for flights that arrived 15+
+# minutes late and were neither cancelled nor diverted.
+_BASE = [
+    "l_orderkey", "l_partkey", "l_suppkey", "l_quantity",
+    "CAST(l_shipdate AS DATE) AS d",
+    "(l_orderkey + l_suppkey) % 53 = 0 AS cx",
+    "(l_orderkey + l_partkey) % 211 = 0 AS dv",
+    "CAST(floor(l_extendedprice) AS BIGINT) % 140 - 25 AS arr",
+]
+_CAUSE = "CASE WHEN NOT cx AND NOT dv AND arr >= 15 THEN CAST(arr % {m} AS STRING) END"
+_FIXTURE_SQL = {
+    "yr": "CAST(year(d) + 20 AS STRING)",
+    "mo": "CAST(month(d) AS STRING)",
+    "dy": "CAST(day(d) AS STRING)",
+    "dow": "CAST(extract(DAYOFWEEK_ISO FROM d) AS STRING)",
+    "airline": ("CASE WHEN l_partkey % 97 = 0 THEN NULL ELSE "
+                "concat('C', lpad(CAST((l_suppkey * 7 + l_partkey) % 17 AS STRING), 2, '0')) END"),
+    "origin": "concat('A', lpad(CAST(l_partkey % 120 AS STRING), 3, '0'))",
+    "dest": "concat('A', lpad(CAST(l_orderkey % 120 AS STRING), 3, '0'))",
+    "arr_delay": "CASE WHEN cx OR dv THEN NULL ELSE CAST(arr AS STRING) END",
+    "dep_delay": "CASE WHEN cx THEN NULL ELSE CAST(CAST(l_quantity AS BIGINT) * 2 - 12 AS STRING) END",
+    "carrier_d": _CAUSE.format(m=37),
+    "weather_d": _CAUSE.format(m=11),
+    "nas_d": _CAUSE.format(m=23),
+    "security_d": _CAUSE.format(m=3),
+    "late_d": _CAUSE.format(m=29),
+    "cancelled": "CASE WHEN cx THEN '1' ELSE '0' END",
+    "diverted": "CASE WHEN dv AND NOT cx THEN '1' ELSE '0' END",
+    "distance": "CAST(100 + l_partkey % 2400 AS STRING)",
+}
+assert list(_FIXTURE_SQL) == FIXTURE_COLUMNS
 
 
 def fixture_flights_raw(lineitem: DataFrame) -> DataFrame:
     """All generated flights as raw strings in fixture column names."""
-    li = lineitem.select("l_orderkey", "l_partkey", "l_suppkey", "l_quantity",
-                         "l_extendedprice", "l_shipdate")
-    ok, pk, sk = F.col("l_orderkey"), F.col("l_partkey"), F.col("l_suppkey")
-    ship = F.col("l_shipdate").cast("date")
-    base = li.select(
-        ok.alias("ok"), pk.alias("pk"), sk.alias("sk"), F.col("l_quantity").alias("qty"),
-        ship.alias("d"),
-        ((ok + sk) % 53 == 0).alias("cx"),
-        ((ok + pk) % 211 == 0).alias("dv"),
-        (F.floor("l_extendedprice").cast("bigint") % 140 - 25).alias("arr"),
-    )
-    cx, dv, arr = F.col("cx"), F.col("dv"), F.col("arr")
-    has_cause = ~cx & ~dv & (arr >= 15)
-
-    def cause(modulus: int) -> Column:
-        return F.when(has_cause, _s(arr % modulus))
-
-    return base.select(
-        _s(F.year("d") + 20).alias("yr"),
-        _s(F.month("d")).alias("mo"),
-        _s(F.dayofmonth("d")).alias("dy"),
-        _s(F.weekday("d") + 1).alias("dow"),  # ISO day of week, Monday = 1
-        F.when(F.col("pk") % 97 == 0, F.lit(None).cast("string"))
-         .otherwise(_code("C", (F.col("sk") * 7 + F.col("pk")) % 17, 2)).alias("airline"),
-        _code("A", F.col("pk") % 120, 3).alias("origin"),
-        _code("A", F.col("ok") % 120, 3).alias("dest"),
-        F.when(cx | dv, F.lit(None).cast("string")).otherwise(_s(arr)).alias("arr_delay"),
-        F.when(cx, F.lit(None).cast("string"))
-         .otherwise(_s(F.col("qty").cast("bigint") * 2 - 12)).alias("dep_delay"),
-        cause(37).alias("carrier_d"),
-        cause(11).alias("weather_d"),
-        cause(23).alias("nas_d"),
-        cause(3).alias("security_d"),
-        cause(29).alias("late_d"),
-        F.when(cx, F.lit("1")).otherwise(F.lit("0")).alias("cancelled"),
-        F.when(dv & ~cx, F.lit("1")).otherwise(F.lit("0")).alias("diverted"),
-        _s(F.col("pk") % 2400 + 100).alias("distance"),
-    )
+    return (lineitem.selectExpr(*_BASE)
+            .selectExpr(*[f"{expr} AS {name}" for name, expr in _FIXTURE_SQL.items()]))
 
 
 def _as_layout(raw: DataFrame, spec: SourceSpec) -> DataFrame:
-    return raw.select([F.col(fx).alias(src)
-                       for fx, src in zip(FIXTURE_COLUMNS, spec.source_columns)])
+    # positional rename: fixture column i becomes the layout's source column i
+    return raw.toDF(*spec.source_columns)
+
+
+def spread_scan(df: DataFrame) -> DataFrame:
+    """Round-robin the rows over the cluster's cores when the scan has fewer
+    splits than cores (e.g. one small file with a single row group).
+
+    Row generation and string casts are CPU-bound; without this they run in
+    one task. A scan over many files (the normal case at scale) already has
+    enough splits and is left untouched, so no fact-sized shuffle is added.
+    Hash partitioning on the order key is deterministic on task retry and,
+    unlike a round-robin repartition, needs no local sort first.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores, "l_orderkey")
 
 
 def fixture_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Label -> raw string DataFrame in that layout's headers."""
-    raw = fixture_flights_raw(spark.read.parquet(f"{sf_dir}/lineitem.parquet"))
-    early = F.col("yr").cast("int") <= LAST_2015_YEAR
+    lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
+        "l_orderkey", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_shipdate")
+    raw = fixture_flights_raw(spread_scan(lineitem))
+    early = f"CAST(yr AS INT) <= {LAST_2015_YEAR}"
     specs = {s.label: s for s in source_specs()}
     return {
         "2015": _as_layout(raw.filter(early), specs["2015"]),
-        "2018_2024": _as_layout(raw.filter(~early), specs["2018_2024"]),
+        "2018_2024": _as_layout(raw.filter(f"NOT ({early})"), specs["2018_2024"]),
     }
