@@ -239,3 +239,50 @@ def month_from_grains(table: DataFrame, ordered: bool = True) -> DataFrame:
 
 def summary_from_grains(table: DataFrame) -> DataFrame:
     return _from_grain(table, "all", SUMMARY)
+
+
+# ------------------------------------------------- additive (mergeable) grains
+#
+# The same grouping sets, but holding counts and sums instead of rounded
+# means. Two such tables merge by adding them up, which makes the grain table
+# usable as incremental state (streaming, or appending a new month of files).
+
+def additive_grain_table(flights: DataFrame,
+                         extra_sets: dict[str, list[str]] | None = None) -> DataFrame:
+    sets = dict(GRAIN_SETS)
+    sets.update(extra_sets or {})
+    keys = list(GRAIN_KEYS)
+    for cols in sets.values():
+        keys += [c for c in cols if c not in keys]
+    aggs = [F.grouping_id(*keys).alias("_gid"), F.expr("count(1) AS n")]
+    for m in ROLLUP_MEASURES:
+        aggs += [F.expr(f"sum(`{m}`) AS `s_{m}`"), F.expr(f"count(`{m}`) AS `c_{m}`")]
+    aggs += _year_range()
+    table = flights.groupingSets([[F.col(c) for c in cols] for cols in sets.values()],
+                                 *keys).agg(*aggs)
+    grain = F.lit(None).cast("string")
+    for name, cols in reversed(list(sets.items())):
+        grain = F.when(F.col("_gid") == _grain_of(keys, cols), F.lit(name)).otherwise(grain)
+    parts = [c for m in ROLLUP_MEASURES for c in (f"s_{m}", f"c_{m}")]
+    return table.select(grain.alias("grain"), *keys, "n", *parts, "min_year", "max_year")
+
+
+def merge_additive(*tables: DataFrame) -> DataFrame:
+    """Add up additive grain tables (grain and key columns identify a row)."""
+    base = tables[0]
+    for t in tables[1:]:
+        base = base.unionByName(t)
+    sums = [c for c in base.columns if c == "n" or c.startswith(("s_", "c_"))]
+    keys = [c for c in base.columns if c not in sums and c not in ("min_year", "max_year")]
+    return base.groupBy(*keys).agg(*[F.sum(c).alias(c) for c in sums],
+                                   F.min("min_year").alias("min_year"),
+                                   F.max("max_year").alias("max_year"))
+
+
+def grains_from_additive(table: DataFrame) -> DataFrame:
+    """Rounded means from an additive grain table: same layout as ``grain_table``."""
+    keys = [c for c in table.columns
+            if c not in ("n", "min_year", "max_year") and not c.startswith(("s_", "c_"))]
+    means = [F.expr(f"round(try_divide(`s_{m}`, CAST(`c_{m}` AS DOUBLE)), {MEASURE_DIGITS[m]}) "
+                    f"AS `{m}`") for m in ROLLUP_MEASURES]
+    return table.select(*keys, "n", *means, "min_year", "max_year")

@@ -419,5 +419,9 @@ ORACLE.update({
     "grains_by_month": _q("SELECT * FROM monthly_out"),
     "grains_summary": _q("SELECT * FROM summary_out"),
     "run_source_profile": ORACLE["source_profile"],
+    "streaming_by_airline": _q("SELECT * FROM airlines_out"),
+    "streaming_by_month": _q("SELECT * FROM monthly_out"),
+    "streaming_summary": _q("SELECT * FROM summary_out"),
+    "streaming_keyed_airlines": _q(_KEYED_AIRLINES),
     "run_null_airline": ORACLE["null_airline_check"],
 })
