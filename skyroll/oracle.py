@@ -322,6 +322,14 @@ _UPSERT = _q(
     f"old_items AS ({_keyed_sql('early_top', 'ORIGIN_AIRPORT', 'ORIGIN_AIRPORT, flights', _AIRPORT_COLS, 'ORIGIN_AIRPORT IS NOT NULL')}),\n"
     f"new_items AS ({_keyed_sql('airports_out', 'ORIGIN_AIRPORT', 'ORIGIN_AIRPORT, flights', _AIRPORT_COLS, 'ORIGIN_AIRPORT IS NOT NULL')})")
 
+_UPSERT_NEW_COLUMN = _q(
+    "SELECT * REPLACE (CAST(NULL AS DECIMAL(38,6)) AS diverted) FROM old_items "
+    "WHERE item_key NOT IN (SELECT item_key FROM new_items) "
+    "UNION ALL SELECT * FROM new_items",
+    f"early_top AS ({_airport_top('\"YEAR\" <= 2017')}),\n"
+    f"old_items AS ({_keyed_sql('early_top', 'ORIGIN_AIRPORT', 'ORIGIN_AIRPORT, flights', _AIRPORT_COLS, 'ORIGIN_AIRPORT IS NOT NULL')}),\n"
+    f"new_items AS ({_keyed_sql('airports_out', 'ORIGIN_AIRPORT', 'ORIGIN_AIRPORT, flights', _AIRPORT_COLS, 'ORIGIN_AIRPORT IS NOT NULL')})")
+
 _OUTPUT_COUNTS = """(SELECT 'airlines' AS output, count(*) AS rows FROM airlines_out
   UNION ALL SELECT 'airports' AS output, count(*) AS rows FROM airports_out
   UNION ALL SELECT 'monthly' AS output, count(*) AS rows FROM monthly_out
@@ -402,6 +410,7 @@ ORACLE.update({
                                          "true")),
     "keyed_upsert": _UPSERT,
     "keyed_store_roundtrip": _UPSERT,
+    "keyed_upsert_new_column": _UPSERT_NEW_COLUMN,
     "json_roundtrip": _q("SELECT * FROM airlines_out"),
     "csv_roundtrip": _q("SELECT * FROM airlines_out"),
     "served_read": _q(f"SELECT *, 'store' AS data_source FROM ({_KEYED_AIRLINES})"),

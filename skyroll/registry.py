@@ -75,6 +75,14 @@ def keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merge_items(old, new)
 
 
+def keyed_upsert_new_column(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Upsert across a schema change: the earlier items predate the
+    ``diverted`` column; merged rows are a header union (SET2), so items
+    written before the change read it as NULL."""
+    old, new = _upsert_batches(spark, sf_dir)
+    return merge_items(old.drop("diverted"), new)
+
+
 def keyed_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     old, new = _upsert_batches(spark, sf_dir)
     store = KeyedStore(spark, scratch_path(spark, "store"), "flight_airports")
@@ -219,6 +227,7 @@ QUERIES: dict[str, Query] = {
     "keyed_items_summary": _keyed("delaySummary"),
     "keyed_upsert": keyed_upsert,
     "keyed_store_roundtrip": keyed_store_roundtrip,
+    "keyed_upsert_new_column": keyed_upsert_new_column,
     "json_roundtrip": json_roundtrip,
     "csv_roundtrip": csv_roundtrip,
     "served_read": served_read,

@@ -21,12 +21,17 @@ DEFAULT_CONF = {
 
 def build_session(master: str | None = None, app_name: str = "skyroll",
                   shuffle_partitions: int | None = None,
+                  split_bytes: str | None = None,
                   extra: dict[str, str] | None = None) -> SparkSession:
     """Create (or reuse) a session with the engine defaults applied.
 
-    On a cluster leave ``master`` unset so spark-submit decides, and size
-    ``shuffle_partitions`` to the data (roughly input bytes / 128 MB for the
-    fact scan; AQE coalesces the tiny aggregate stages anyway).
+    On a cluster leave ``master`` unset so spark-submit decides. The heavy
+    stage is the raw scan; its task count is input bytes / ``split_bytes``
+    (``spark.sql.files.maxPartitionBytes``, default 128m). For tens of TB of
+    raw CSV use 512m-1g: every task still emits only a few hundred partial
+    aggregate rows, and fewer tasks mean fewer shuffle blocks and map
+    statuses on the driver. ``shuffle_partitions`` can stay modest: the
+    aggregate stages after the scan are tiny and AQE coalesces them.
     """
     builder = SparkSession.builder.appName(app_name)
     if master:
@@ -34,6 +39,8 @@ def build_session(master: str | None = None, app_name: str = "skyroll",
     conf = dict(DEFAULT_CONF)
     if shuffle_partitions:
         conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
+    if split_bytes:
+        conf["spark.sql.files.maxPartitionBytes"] = split_bytes
     conf.update(extra or {})
     for key, value in conf.items():
         builder = builder.config(key, value)
