@@ -7,7 +7,6 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyroll.schemas import OUTPUT_NAMES
 
 
 def null_airline_check(flights: DataFrame) -> DataFrame:
@@ -67,4 +66,4 @@ def run_totals(summary: DataFrame, airlines: DataFrame, airports: DataFrame,
 
 
 __all__ = ["null_airline_check", "drop_null_keys", "source_profile", "readiness",
-           "run_totals", "OUTPUT_NAMES"]
+           "run_totals"]

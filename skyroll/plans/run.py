@@ -20,6 +20,7 @@ content.
 from __future__ import annotations
 
 import logging
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,7 +30,7 @@ from skyroll.operators.aggregates import grain_table
 from skyroll.operators.checks import run_totals
 from skyroll.operators.standardise import standardise, unify
 from skyroll.plans.dashboard import Outputs, outputs_from_grains
-from skyroll.schemas import KEYED_OUTPUTS, OUTPUT_NAMES, SourceSpec, source_specs
+from skyroll.schemas import KEYED_OUTPUTS, SourceSpec, source_specs
 from skyroll.session import scratch_path
 from skyroll.sinks.json_out import write_json_output
 from skyroll.sinks.keyed import KeyedStore, keyed_items
@@ -67,6 +68,45 @@ def materialise_grains(spark: SparkSession, flights: DataFrame) -> tuple[DataFra
     return spark.read.parquet(path), path
 
 
+def publish_outputs(spark: SparkSession, outputs: dict[str, DataFrame], out_root: str,
+                    store_root: str | None = None, strict: bool = True
+                    ) -> tuple[dict[str, int], dict[str, str]]:
+    """Write each output as JSON, then upsert it into the keyed store.
+
+    The four outputs are independent small jobs, so the driver submits them
+    concurrently (Spark schedules jobs from several threads) instead of one
+    after another. Every JSON output is written even if a store write fails;
+    in strict mode the first store failure is raised afterwards, otherwise
+    it is logged and returned. Returns (store versions, store errors).
+    """
+    versions: dict[str, int] = {}
+    errors: dict[str, str] = {}
+    failures: list[BaseException] = []
+
+    def publish(name: str) -> None:
+        df = outputs[name]
+        write_json_output(df, f"{out_root}/{name}")
+        if not store_root:
+            return
+        store_table, rule = KEYED_OUTPUTS[name]
+        try:
+            store = KeyedStore(spark, store_root, store_table)
+            versions[name] = store.upsert(keyed_items(df, rule))
+        except Exception as exc:  # noqa: BLE001
+            if strict:
+                failures.append(exc)
+                return
+            log.warning("keyed store write failed for %s: %s", name, exc)
+            errors[name] = str(exc)
+
+    with ThreadPoolExecutor(max_workers=len(outputs)) as pool:
+        for fut in [pool.submit(publish, name) for name in outputs]:
+            fut.result()
+    if failures:
+        raise failures[0]
+    return versions, errors
+
+
 def run(spark: SparkSession, raw_by_label: dict[str, DataFrame], out_root: str,
         store_root: str | None = None, strict: bool = True) -> RunResult:
     """Run the batch job. With ``strict`` a keyed-store failure is raised
@@ -76,22 +116,7 @@ def run(spark: SparkSession, raw_by_label: dict[str, DataFrame], out_root: str,
     table, path = materialise_grains(spark, labelled_flights(raw_by_label))
     outputs = outputs_from_grains(table)
 
-    for name, df in outputs.as_dict().items():
-        write_json_output(df, f"{out_root}/{name}")
-
-    result_versions: dict[str, int] = {}
-    errors: dict[str, str] = {}
-    if store_root:
-        for name in OUTPUT_NAMES:
-            store_table, rule = KEYED_OUTPUTS[name]
-            try:
-                store = KeyedStore(spark, store_root, store_table)
-                result_versions[name] = store.upsert(keyed_items(outputs.as_dict()[name], rule))
-            except Exception as exc:  # noqa: BLE001
-                if strict:
-                    raise
-                log.warning("keyed store write failed for %s: %s", name, exc)
-                errors[name] = str(exc)
+    versions, errors = publish_outputs(spark, outputs.as_dict(), out_root, store_root, strict)
 
     width = F.create_map(*[x for label, n in columns.items() for x in (F.lit(label), F.lit(n))])
     profile = (table.filter(F.col("grain") == SOURCE_COL)
@@ -103,4 +128,4 @@ def run(spark: SparkSession, raw_by_label: dict[str, DataFrame], out_root: str,
         F.coalesce(F.sum(F.when((grain == "airline") & F.col("AIRLINE").isNull(), F.col("n"))),
                    F.lit(0).cast("bigint")).alias("null_airline_rows"))
     totals = run_totals(outputs.summary, outputs.airlines, outputs.airports, outputs.monthly)
-    return RunResult(outputs, profile, null_airline, totals, path, result_versions, errors)
+    return RunResult(outputs, profile, null_airline, totals, path, versions, errors)

@@ -25,10 +25,9 @@ from pyspark.sql.streaming import StreamingQuery
 from skyroll.operators.aggregates import additive_grain_table, grains_from_additive
 from skyroll.operators.standardise import standardise, unify
 from skyroll.plans.dashboard import outputs_from_grains
-from skyroll.schemas import KEYED_OUTPUTS, OUTPUT_NAMES, raw_schema, source_specs
+from skyroll.plans.run import publish_outputs
+from skyroll.schemas import raw_schema, source_specs
 from skyroll.session import scratch_path
-from skyroll.sinks.json_out import write_json_output
-from skyroll.sinks.keyed import KeyedStore, keyed_items
 
 SOURCE_COL = "source"
 
@@ -53,13 +52,7 @@ def flight_stream(spark: SparkSession, landing: dict[str, str],
 def publish(state: DataFrame, out_root: str, store_root: str | None) -> None:
     """Write the four outputs derived from the current additive state."""
     outputs = outputs_from_grains(grains_from_additive(state)).as_dict()
-    for name in OUTPUT_NAMES:
-        write_json_output(outputs[name], f"{out_root}/{name}")
-    if store_root:
-        for name in OUTPUT_NAMES:
-            table, rule = KEYED_OUTPUTS[name]
-            KeyedStore(state.sparkSession, store_root, table).upsert(
-                keyed_items(outputs[name], rule))
+    publish_outputs(state.sparkSession, outputs, out_root, store_root, strict=True)
 
 
 def start_incremental_run(spark: SparkSession, landing: dict[str, str], out_root: str,
