@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-
 def null_airline_check(flights: DataFrame) -> DataFrame:
     """Rows without a carrier code (FLT1), next to the total, in one pass."""
     return flights.agg(

@@ -19,7 +19,7 @@ from skyroll.plans.dashboard import outputs_from_grains, served_from_flights
 from skyroll.plans.replay import output_schemas, replay
 from skyroll.plans.run import run
 from skyroll.schemas import KEYED_OUTPUTS, source_specs
-from skyroll.session import scratch_path
+from skyroll.session import checkpointed, scratch_path
 from skyroll.sinks.csv_out import write_csv
 from skyroll.sinks.json_out import write_json_output
 from skyroll.sinks.keyed import KeyedStore, keyed_items, merge_items
@@ -53,7 +53,8 @@ def served(spark: SparkSession, sf_dir: str):
 
 
 def _outputs(spark: SparkSession, sf_dir: str):
-    return outputs_from_grains(agg.grain_table(flights(spark, sf_dir)))
+    """The four outputs as a run writes them, from one checkpointed grain table."""
+    return outputs_from_grains(checkpointed(agg.grain_table(flights(spark, sf_dir))))
 
 
 def _keyed(name: str) -> Query:
