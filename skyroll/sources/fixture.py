@@ -5,12 +5,14 @@ layouts are derived from ``lineitem`` by a fixed rule (FIXTURES.md, F6).
 The rows come out as strings, exactly like a headered CSV scan, so the
 standardise / union / aggregate path runs for real and grows with the
 table. Only the columns the rule needs are read from the parquet file, and
-the layout split (year <= 2017 vs later) is a plain filter on top of it.
+the layout split (generated year <= 2017 vs later) is a ship-date range
+pushed down to the parquet reader.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skyroll.schemas import SourceSpec, source_specs
 
@@ -67,19 +69,23 @@ def _as_layout(raw: DataFrame, spec: SourceSpec) -> DataFrame:
 
 
 def spread_scan(df: DataFrame) -> DataFrame:
-    """Round-robin the rows over the cluster's cores when the scan has fewer
+    """Spread the rows evenly over the cluster's cores when the scan has fewer
     splits than cores (e.g. one small file with a single row group).
 
     Row generation and string casts are CPU-bound; without this they run in
     one task. A scan over many files (the normal case at scale) already has
     enough splits and is left untouched, so no fact-sized shuffle is added.
-    Hash partitioning on the order key is deterministic on task retry and,
-    unlike a round-robin repartition, needs no local sort first.
+    The spread key is the row's position (``monotonically_increasing_id``:
+    partition index and row number), not its content, so a hot key or a
+    large group of identical rows is still spread evenly; it is recomputed
+    identically from the same file split, and unlike a round-robin
+    repartition it needs no local sort first.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
         return df
-    return df.repartition(cores, "l_orderkey")
+    return (df.withColumn("_spread", F.monotonically_increasing_id())
+              .repartition(cores, "_spread").drop("_spread"))
 
 
 def fixture_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
