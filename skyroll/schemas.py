@@ -151,6 +151,3 @@ def raw_schema(spec: SourceSpec) -> T.StructType:
     """All-string schema of a raw layout (headers are read, never inferred)."""
     return T.StructType([T.StructField(c, T.StringType(), True) for c in spec.source_columns])
 
-
-def spark_type(kind: str) -> T.DataType:
-    return _SPARK_TYPES[kind]
