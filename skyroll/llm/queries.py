@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
+from skyroll.llm.binary_output import op9_binary_output
 from skyroll.llm.exact_dedup import ORACLE_OP6, op6_exact_dedup
+from skyroll.llm.langid import op8_language_id
+from skyroll.llm.packing import op1_best_fit_packing
 from skyroll.llm.quality import op10_quality_rank
 from skyroll.llm.toxicity import op5_toxicity
 
 
 def queries():
     return {
+        "op1_best_fit_packing": op1_best_fit_packing,
         "op5_toxicity": op5_toxicity,
         "op6_exact_dedup": op6_exact_dedup,
+        "op8_language_id": op8_language_id,
+        "op9_binary_output": op9_binary_output,
         "op10_quality_rank": op10_quality_rank,
     }
 
