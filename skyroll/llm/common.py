@@ -59,3 +59,20 @@ def labelled_sample(docs: DataFrame, labels_df: DataFrame, label: str, fold: int
     return (docs.select("doc_id", "text")
             .join(F.broadcast(picked.dropDuplicates(["doc_id"])), "doc_id")
             .select("text", "label"))
+
+
+# A group with more than one row in HOT_SHARE is hot. There can be at most
+# HOT_SHARE hot groups, whatever the input, so these may be broadcast.
+HOT_SHARE = 1000
+
+
+def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str) -> DataFrame:
+    """Inner join of ``rows`` with one row per group (``size``: its rows), both
+    saved tables. Rows of hot groups never meet in one task: they take a
+    broadcast join, the others, of which no key is large, a sort-merge join."""
+    total = rows.count()
+    is_hot = F.col(size) * HOT_SHARE > total
+    hot = groups.where(is_hot)
+    cold = rows.join(F.broadcast(hot.select(*keys)), keys, "left_anti")
+    return rows.join(F.broadcast(hot), keys).unionByName(
+        cold.join(groups.where(~is_hot).hint("merge"), keys))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from skyroll.llm.binary_output import op9_binary_output
 from skyroll.llm.exact_dedup import ORACLE_OP6, op6_exact_dedup
+from skyroll.llm.jaccard_join import op4_jaccard_join
 from skyroll.llm.langid import op8_language_id
 from skyroll.llm.packing import op1_best_fit_packing
 from skyroll.llm.quality import op10_quality_rank
@@ -13,6 +14,7 @@ from skyroll.llm.toxicity import op5_toxicity
 def queries():
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op4_jaccard_join": op4_jaccard_join,
         "op5_toxicity": op5_toxicity,
         "op6_exact_dedup": op6_exact_dedup,
         "op8_language_id": op8_language_id,
