@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from skyroll.llm.binary_output import op9_binary_output
+from skyroll.llm.decontamination import op7_decontamination
 from skyroll.llm.exact_dedup import ORACLE_OP6, op6_exact_dedup
 from skyroll.llm.jaccard_join import op4_jaccard_join
 from skyroll.llm.langid import op8_language_id
@@ -17,6 +18,7 @@ def queries():
         "op4_jaccard_join": op4_jaccard_join,
         "op5_toxicity": op5_toxicity,
         "op6_exact_dedup": op6_exact_dedup,
+        "op7_decontamination": op7_decontamination,
         "op8_language_id": op8_language_id,
         "op9_binary_output": op9_binary_output,
         "op10_quality_rank": op10_quality_rank,
