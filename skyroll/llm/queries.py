@@ -9,12 +9,14 @@ from skyroll.llm.jaccard_join import op4_jaccard_join
 from skyroll.llm.langid import op8_language_id
 from skyroll.llm.packing import op1_best_fit_packing
 from skyroll.llm.quality import op10_quality_rank
+from skyroll.llm.tool_calls import ORACLE_OP3, op3_tool_calls
 from skyroll.llm.toxicity import op5_toxicity
 
 
 def queries():
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op3_tool_calls": op3_tool_calls,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_toxicity": op5_toxicity,
         "op6_exact_dedup": op6_exact_dedup,
@@ -26,4 +28,4 @@ def queries():
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": ORACLE_OP6}
+    return {"op3_tool_calls": ORACLE_OP3, "op6_exact_dedup": ORACLE_OP6}
