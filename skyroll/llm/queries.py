@@ -7,6 +7,7 @@ from skyroll.llm.decontamination import op7_decontamination
 from skyroll.llm.exact_dedup import ORACLE_OP6, op6_exact_dedup
 from skyroll.llm.jaccard_join import op4_jaccard_join
 from skyroll.llm.langid import op8_language_id
+from skyroll.llm.licenses import op2_license_scan
 from skyroll.llm.packing import op1_best_fit_packing
 from skyroll.llm.quality import op10_quality_rank
 from skyroll.llm.tool_calls import ORACLE_OP3, op3_tool_calls
@@ -16,6 +17,7 @@ from skyroll.llm.toxicity import op5_toxicity
 def queries():
     return {
         "op1_best_fit_packing": op1_best_fit_packing,
+        "op2_license_scan": op2_license_scan,
         "op3_tool_calls": op3_tool_calls,
         "op4_jaccard_join": op4_jaccard_join,
         "op5_toxicity": op5_toxicity,
