@@ -10,11 +10,16 @@
    has the token earliest in its order (the text that others are copies of).
    Linked sets form groups by connected components.
 4. Token-group matrix: for each token the groups whose members have it in their
-   prefix, with the sizes and the most that can still follow. A query set meets
+   prefix, by band of set size, with the most that can still follow. A query set meets
    only the groups of its tokens; by the best overlap they could have, most
-   groups stay closed. Of the groups that qualify, the members sharing a token
-   are opened and compared exactly.
-5. Components over all links.
+   groups stay closed.
+5. Of each group that qualifies, first only one member is opened: the one that
+   heads the group on most of the query's tokens. Where they link, the query
+   joins the group. After ``HEAD_ROUNDS`` of this, the groups that still qualify
+   are opened and their members compared exactly: those sharing a token, or all
+   of a fitting size where that makes fewer rows (a small group that shares many
+   tokens with many queries).
+6. Components over all links.
 
 Within a group nothing needs comparing (its members are already connected), so
 the pairs of a large family of copies are never enumerated, and every link
@@ -44,6 +49,8 @@ SKETCH_BITS = 20         # counters of the frequency sketch (one byte each when
 COMMON = 16              # repeats from which a counter orders its tokens last
 SALT_FROM = 9            # tokens of 2**10 rows and more are dealt over parts of about 2**9
 STAR_LEADERS = 2         # leaders a set is compared with when groups are formed
+SIZE_BANDS = 16          # bands of set sizes in the matrix, per factor of e
+HEAD_ROUNDS = 1          # rounds in which groups that link by a head are merged
 BATCH_ROWS = 2000
 
 # Odd multipliers of the hashes (any odd 64-bit numbers do).
@@ -124,10 +131,10 @@ def shingle_sets(texts: pa.Array, size: int = SHINGLE) -> list[np.ndarray]:
             s = np.sort(whole[a:b - size + 1])
             out.append(s[np.concatenate([[True], s[1:] != s[:-1]])])
         elif b > a:
-            short = np.uint64(b - a) * _P
+            short = np.array([b - a], dtype=np.uint64) * _P
             for k in range(b - a):
-                short = short + words[a + k] * _WORD[k % len(_WORD)]
-            out.append(_mix(np.array([short], dtype=np.uint64)))
+                short = short + words[a + k:a + k + 1] * _WORD[k % len(_WORD)]
+            out.append(_mix(short))
         else:
             out.append(np.zeros(0, np.uint64))
     return out
@@ -293,50 +300,79 @@ def star_pairs(shared: DataFrame) -> DataFrame:
 
 
 def grouped_rows(shared: DataFrame, groups: DataFrame) -> DataFrame:
-    """Prefix rows with the group of their set (itself where it has no link)."""
+    """Prefix rows with the group of their set (itself where it has no link)
+    and the band of its size."""
     return (shared.select("token", "doc_id", "n", "pos")
             .join(groups.select(F.col("node").alias("doc_id"), F.col("component").alias("grp")),
                   "doc_id", "left")
             .withColumn("grp", F.coalesce("grp", "doc_id"))
+            .withColumn("band", F.floor(F.log("n") * SIZE_BANDS))
             .withColumn("indexed", F.col("pos") <= F.col("n") - F.ceil(
                 F.lit(2 * NUM) * F.col("n") / (NUM + DEN))))
 
 
-def qualifying_groups(rows: DataFrame) -> DataFrame:
-    """(doc_id, grp) where the matrix lets the group hold a set that links.
+def qualifying_rows(rows: DataFrame) -> DataFrame:
+    """Query rows (doc_id, n, pos, token) with each group and size band in which
+    the matrix lets a member link by this token; ``head`` is the member that has
+    the token earliest, ``have`` the number of members.
 
     A member can follow on a shared token with at most ``rest`` tokens, the
-    query with ``n - pos``; the smaller must reach the overlap that sizes ask for.
+    query with ``n - pos``; the smaller must reach the overlap that sizes ask
+    for. The first token that two linked sets share always passes.
     """
-    matrix = (rows.where("indexed").groupBy("token", "grp")
+    matrix = (rows.where("indexed").groupBy("token", F.col("grp").alias("other"),
+                                            F.col("band").alias("m_band"))
               .agg(F.min("n").alias("least_n"), F.max("n").alias("most_n"),
-                   F.max(F.col("n") - F.col("pos")).alias("rest"))
-              .withColumnRenamed("grp", "other"))
+                   F.max(F.col("n") - F.col("pos")).alias("rest"),
+                   F.count(F.lit(1)).alias("have"),
+                   F.min(F.struct("pos", "doc_id")).alias("first")))
     smallest = F.greatest(F.col("least_n"), F.ceil(F.col("n") * NUM / DEN))
     return (rows.join(matrix, "token").where(
         (F.col("grp") != F.col("other")) & (F.col("least_n") <= F.col("n"))
         & (DEN * F.col("most_n") >= NUM * F.col("n"))
         & ((NUM + DEN) * F.least(F.col("n") - F.col("pos"), F.col("rest"))
            >= NUM * (F.col("n") + smallest)))
-        .select("doc_id", F.col("other").alias("grp")).distinct())
+        .select("doc_id", "n", "pos", "token", F.col("other").alias("grp"),
+                F.col("m_band").alias("band"), "have", F.col("first.doc_id").alias("head")))
 
 
-def opened_pairs(rows: DataFrame, qualifying: DataFrame) -> DataFrame:
-    """Pairs of a query and a member of a qualifying group that share a prefix
-    token and whose sizes and token places allow a link."""
-    ask = rows.select("token", "doc_id", "n", "pos").join(qualifying, "doc_id")
+def qualifying_groups(asked: DataFrame, rows: DataFrame) -> DataFrame:
+    """(doc_id, n, grp, head, whole) of the groups with qualifying rows.
+
+    ``head`` is the head on most rows; ``whole`` tells that the group has fewer
+    members than these rows would open.
+    """
+    members = rows.select("grp", "doc_id").distinct().groupBy("grp").agg(
+        F.count(F.lit(1)).alias("members"))
+    return (asked.groupBy("doc_id", "n", "grp", "head")
+            .agg(F.count(F.lit(1)).alias("votes"), F.sum("have").alias("have"))
+            .groupBy("doc_id", "n", "grp")
+            .agg(F.max(F.struct("votes", "head")).alias("best"), F.sum("have").alias("have"))
+            .join(members, "grp")
+            .select("doc_id", "n", "grp", F.col("best.head").alias("head"),
+                    (F.col("members") < F.col("have")).alias("whole")))
+
+
+def opened_pairs(rows: DataFrame, asked: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs of a query and a member of a qualifying group whose sizes allow a
+    link and which, unless the group is opened whole, share a prefix token at
+    places that allow one."""
+    older = F.struct("m_n", "m_id") < F.struct("n", "doc_id")
     member = rows.where("indexed").select(
-        "token", "grp", F.col("doc_id").alias("m_id"), F.col("n").alias("m_n"),
+        "token", "grp", "band", F.col("doc_id").alias("m_id"), F.col("n").alias("m_n"),
         F.col("pos").alias("m_pos"))
-    return (ask.join(member, ["token", "grp"])
-            .where((F.struct("m_n", "m_id") < F.struct("n", "doc_id"))
-                   & _fits(F.col("n"), F.col("m_n")))
-            .groupBy(F.col("doc_id").alias("a"), F.col("m_id").alias("b"))
-            .agg(F.min("pos").alias("pos"), F.min("m_pos").alias("m_pos"),
-                 F.max("n").alias("n"), F.max("m_n").alias("m_n"))
-            .where((NUM + DEN) * F.least(F.col("n") - F.col("pos"), F.col("m_n") - F.col("m_pos"))
-                   >= NUM * (F.col("n") + F.col("m_n")))
-            .select("a", "b"))
+    ask = asked.select("doc_id", "n", "pos", "token", "grp", "band").join(
+        groups.where("whole").select("doc_id", "grp"), ["doc_id", "grp"], "left_anti")
+    by_token = (ask.join(member, ["token", "grp", "band"])
+                .where(older & _fits(F.col("n"), F.col("m_n"))
+                       & ((NUM + DEN) * F.least(F.col("n") - F.col("pos"),
+                                                F.col("m_n") - F.col("m_pos"))
+                          >= NUM * (F.col("n") + F.col("m_n")))))
+    by_group = (groups.where("whole").select("doc_id", "n", "grp")
+                .join(member.select("grp", "m_id", "m_n").distinct(), "grp")
+                .where(older & _fits(F.col("n"), F.col("m_n"))))
+    pair = [F.col("doc_id").alias("a"), F.col("m_id").alias("b")]
+    return by_token.select(*pair).unionByName(by_group.select(*pair)).distinct()
 
 
 def jaccard_components(docs: DataFrame) -> DataFrame:
@@ -354,10 +390,14 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     shared = saved(shared_tokens(speakers), "shared-tokens")
     whole = saved(full_sets(docs, shared.select("doc_id").distinct()), "whole-sets")
     near = saved(linked(star_pairs(shared), whole), "star-links")
-    groups = components(near)
-    rows = saved(grouped_rows(shared, groups), "grouped-tokens")
-    asked = saved(qualifying_groups(rows), "qualifying-groups")
-    far = saved(linked(opened_pairs(rows, asked), whole), "opened-links")
+    for turn in range(HEAD_ROUNDS + 1):
+        rows = saved(grouped_rows(shared, components(near)), "grouped-tokens")
+        asked = saved(qualifying_rows(rows), "qualifying-rows")
+        opened = saved(qualifying_groups(asked, rows), "qualifying-groups")
+        if turn < HEAD_ROUNDS:
+            heads = opened.select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
+            near = near.unionByName(saved(linked(heads, whole), "head-links"))
+    far = saved(linked(opened_pairs(rows, asked, opened), whole), "opened-links")
     found = components(near.unionByName(far))
     of_class = (classes.join(found.select(F.col("node").alias("speaker"), "component"),
                              "speaker", "left")
