@@ -32,8 +32,8 @@ def typed_sql(name: str, kind: str) -> str:
     """The same rules as SQL text over column ``name`` (one expression string,
     parsed on the JVM side; used for wide projections)."""
     ref = f"`{name}`"
-    as_double = (f"CASE WHEN isnan(try_cast({ref} AS DOUBLE)) THEN NULL "
-                 f"ELSE try_cast({ref} AS DOUBLE) END")
+    as_double = (f"CASE WHEN abs(try_cast({ref} AS DOUBLE)) < double('Infinity') "
+                 f"THEN try_cast({ref} AS DOUBLE) END")
     if kind == "double":
         return as_double
     if kind == "int":

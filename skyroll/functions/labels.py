@@ -15,9 +15,9 @@ SEVERITY_MED = 10
 GRADE_POSITIVE_BELOW = 1.5
 GRADE_INFO_BELOW = 2.5
 GRADE_NOTES = {
-    "positive": "Within healthy operational tolerance.",
-    "info": "Moderate — monitor seasonal hot spots.",
-    "warning": "Elevated — investigate driver categories.",
+    "positive": "Cancellations are low.",
+    "info": "Cancellations are noticeable; compare the months.",
+    "warning": "Cancellations are high; compare the causes.",
 }
 
 

@@ -24,6 +24,7 @@ MATRIX_MEASURES = [
     ("NAS Delay", "nas_delay"),
 ]
 BREAKDOWN_CAUSES = ["carrier_delay", "weather_delay", "nas_delay", "security_delay", "late_delay"]
+MIN_FLIGHTS = 100_000    # a carrier counts as best or worst above this
 SEVERITY_COLUMNS = ["arrival_delay", "departure_delay", "carrier_delay", "weather_delay",
                     "nas_delay", "security_delay", "late_delay"]
 
@@ -125,7 +126,7 @@ def delay_scatter(airports: DataFrame) -> DataFrame:
     )
 
 
-def best_carrier(airlines: DataFrame, min_flights: int) -> DataFrame:
+def best_carrier(airlines: DataFrame, min_flights: int = MIN_FLIGHTS) -> DataFrame:
     """Lowest mean arrival delay among carriers above ``min_flights`` (FLT3, TOP6)."""
     eligible = airlines.filter(num("flights") > min_flights)
     return (eligible.orderBy(num("arrival_delay").asc(), F.col("AIRLINE").asc_nulls_last())
@@ -134,7 +135,7 @@ def best_carrier(airlines: DataFrame, min_flights: int) -> DataFrame:
                     F.col("flights").cast("bigint").alias("flights")))
 
 
-def worst_carrier(airlines: DataFrame, min_flights: int) -> DataFrame:
+def worst_carrier(airlines: DataFrame, min_flights: int = MIN_FLIGHTS) -> DataFrame:
     """Highest mean arrival delay; reported only when two or more carriers are
     eligible (TOP6). The eligibility count is a window over carrier rows."""
     eligible = (airlines.filter(num("flights") > min_flights)

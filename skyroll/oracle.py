@@ -119,9 +119,9 @@ busiest AS (SELECT ORIGIN_AIRPORT, CAST({NUM('flights')} AS BIGINT) AS flights,
   {NUM('arrival_delay')} AS arrival_delay
   FROM airports_s ORDER BY {NUM('flights')} DESC, ORIGIN_AIRPORT ASC NULLS LAST LIMIT 1)"""
 
-GRADE_NOTE = """CASE grade WHEN 'positive' THEN 'Within healthy operational tolerance.'
-  WHEN 'info' THEN 'Moderate — monitor seasonal hot spots.'
-  WHEN 'warning' THEN 'Elevated — investigate driver categories.' END"""
+GRADE_NOTE = """CASE grade WHEN 'positive' THEN 'Cancellations are low.'
+  WHEN 'info' THEN 'Cancellations are noticeable; compare the months.'
+  WHEN 'warning' THEN 'Cancellations are high; compare the causes.' END"""
 
 
 def _q(body: str, extra_ctes: str = "") -> str:
@@ -209,7 +209,7 @@ ORACLE: dict[str, str] = {
         "SELECT '2015' AS source, count(*) AS raw_rows, 17 AS raw_columns FROM fixture "
         "WHERE CAST(yr AS INTEGER) <= 2017 UNION ALL "
         "SELECT '2018_2024' AS source, count(*) AS raw_rows, 17 AS raw_columns FROM fixture "
-        "WHERE NOT (CAST(yr AS INTEGER) <= 2017)"),
+        "WHERE (CAST(yr AS INTEGER) <= 2017) IS NOT TRUE"),
     "run_totals": _q(
         "SELECT (SELECT total_flights FROM summary_out) AS total_rows, "
         "(SELECT count(*) FROM airlines_out) AS airlines, "
@@ -428,6 +428,9 @@ ORACLE.update({
     "grains_by_month": _q("SELECT * FROM monthly_out"),
     "grains_summary": _q("SELECT * FROM summary_out"),
     "run_source_profile": ORACLE["source_profile"],
+    "csv_sources_profile": ORACLE["source_profile"].replace("17 AS raw_columns", "19 AS raw_columns"),
+    "csv_sources_by_airline": ORACLE["by_airline"],
+    "streaming_csv_by_airline": ORACLE["by_airline"],
     "streaming_by_airline": _q("SELECT * FROM airlines_out"),
     "streaming_by_month": _q("SELECT * FROM monthly_out"),
     "streaming_summary": _q("SELECT * FROM summary_out"),

@@ -22,7 +22,7 @@ from skyroll.session import checkpointed
 
 from skyroll.operators.aggregates import (
     airline_from_grains, airline_from_rollup, airport_top_from_grains, airport_top_from_rollup,
-    grain_table, month_from_grains, month_from_rollup, summary_from_grains, summary_from_rollup,
+    by_airline, by_airport_top, by_month, grain_table, month_from_grains, month_from_rollup, summary, summary_from_grains, summary_from_rollup,
 )
 
 
@@ -79,6 +79,19 @@ def served_from_outputs(out: Outputs) -> Served:
     )
 
 
+# Each output by its own aggregate, for queries that need just one of them.
+DIRECT = {"airlines": by_airline, "airports": by_airport_top, "monthly": by_month,
+          "delaySummary": summary}
+NULL_KEYS = {"airlines": ["AIRLINE"], "airports": ["ORIGIN_AIRPORT"],
+             "monthly": ["YEAR", "MONTH"], "delaySummary": []}
+
+
+def served_output(flights: DataFrame, name: str) -> DataFrame:
+    """One served dataset, lazily and without the other three."""
+    return DIRECT[name](flights).dropna(subset=NULL_KEYS[name]) if NULL_KEYS[name] \
+        else DIRECT[name](flights)
+
+
 def served_from_flights(flights: DataFrame, materialise: bool = True) -> Served:
     table = grain_table(flights)
     if materialise:

@@ -64,7 +64,7 @@ def materialise_grains(spark: SparkSession, flights: DataFrame) -> tuple[DataFra
     checkpoint folder (reliable, unlike a local checkpoint)."""
     table = grain_table(flights, extra_sets={SOURCE_COL: [SOURCE_COL]})
     path = scratch_path(spark, "grains")
-    table.coalesce(1).write.mode("errorifexists").parquet(path)
+    table.write.mode("errorifexists").parquet(path)
     return spark.read.parquet(path), path
 
 

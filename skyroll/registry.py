@@ -11,11 +11,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from skyroll.operators import aggregates as agg
 from skyroll.operators import checks, insights, rankings
 from skyroll.operators.standardise import flights_from_sources, standardise
-from skyroll.plans.dashboard import outputs_from_grains, served_from_flights
+from skyroll.plans.dashboard import DIRECT, outputs_from_grains, served_from_flights, served_output
 from skyroll.plans.replay import output_schemas, replay
 from skyroll.plans.run import run
 from skyroll.schemas import KEYED_OUTPUTS, source_specs
@@ -25,6 +26,7 @@ from skyroll.sinks.json_out import write_json_output
 from skyroll.sinks.keyed import KeyedStore, keyed_items, merge_items
 from skyroll.sources import holidays as hol
 from skyroll.sources.fixture import fixture_sources
+from skyroll.sources.raw import read_sources
 from skyroll.sources.json_lines import read_json_output
 from skyroll.sources.served import load_dataset
 from skyroll.streaming.incremental import start_incremental_run
@@ -52,6 +54,10 @@ def served(spark: SparkSession, sf_dir: str):
     return served_from_flights(flights(spark, sf_dir))
 
 
+def one(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return served_output(flights(spark, sf_dir), name)
+
+
 def _outputs(spark: SparkSession, sf_dir: str):
     """The four outputs as a run writes them, from one checkpointed grain table."""
     return outputs_from_grains(checkpointed(agg.grain_table(flights(spark, sf_dir))))
@@ -59,7 +65,7 @@ def _outputs(spark: SparkSession, sf_dir: str):
 
 def _keyed(name: str) -> Query:
     def q(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return keyed_items(_outputs(spark, sf_dir).as_dict()[name], KEYED_OUTPUTS[name][1])
+        return keyed_items(DIRECT[name](flights(spark, sf_dir)), KEYED_OUTPUTS[name][1])
     return q
 
 
@@ -149,6 +155,41 @@ def holidays_archive_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hol.holiday_store(hol.read_holiday_archive(spark, root))
 
 
+def _landed_csv(spark: SparkSession, sf_dir: str) -> dict[str, str]:
+    """Both layouts as CSV folders whose files have the columns in another order
+    than the mapping, and more of them, as raw flight files do."""
+    root, landing = scratch_path(spark, "landed"), {}
+    for label, df in raw_sources(spark, sf_dir).items():
+        landing[label] = f"{root}/{label}"
+        (df.select(F.lit("N1").alias("TAIL_MARK"), *reversed(df.columns), F.lit("7").alias("TAXI_MARK"))
+         .write.option("header", "true").csv(landing[label]))
+    return landing
+
+
+def csv_sources_by_airline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = read_sources(spark, _landed_csv(spark, sf_dir))
+    return agg.by_airline(flights_from_sources(raw))
+
+
+def csv_sources_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.source_profile(read_sources(spark, _landed_csv(spark, sf_dir)))
+
+
+def _run_stream(spark: SparkSession, landing: dict[str, str]) -> str:
+    root = scratch_path(spark, "stream")
+    query = start_incremental_run(spark, landing, f"{root}/out", f"{root}/store",
+                                  max_files_per_trigger=4)
+    query.awaitTermination()
+    if query.exception() is not None:
+        raise RuntimeError(f"streaming run failed: {query.exception()}")
+    return root
+
+
+def streaming_csv_by_airline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    root = _run_stream(spark, _landed_csv(spark, sf_dir))
+    return read_json_output(spark, f"{root}/out/airlines", output_schemas(spark)["airlines"])
+
+
 def _streamed(spark: SparkSession, sf_dir: str) -> str:
     """Land the raw layouts as CSV files, then process them incrementally
     (several micro-batches) with the streaming run; returns its root."""
@@ -157,12 +198,7 @@ def _streamed(spark: SparkSession, sf_dir: str) -> str:
     for label, df in raw_sources(spark, sf_dir).items():
         landing[label] = f"{root}/landing/{label}"
         df.write.option("header", "true").csv(landing[label])
-    query = start_incremental_run(spark, landing, f"{root}/out", f"{root}/store",
-                                  max_files_per_trigger=4)
-    query.awaitTermination()
-    if query.exception() is not None:
-        raise RuntimeError(f"streaming run failed: {query.exception()}")
-    return root
+    return _run_stream(spark, landing)
 
 
 def _streamed_output(name: str) -> Query:
@@ -197,28 +233,28 @@ QUERIES: dict[str, Query] = {
     "run_totals": lambda s, d: (lambda o: checks.run_totals(o.summary, o.airlines, o.airports,
                                                             o.monthly))(_outputs(s, d)),
     # step 3: rankings over the served aggregates
-    "airport_traffic_top15": lambda s, d: rankings.airport_traffic(served(s, d).airports),
-    "airport_delay_matrix": lambda s, d: rankings.airport_delay_matrix(served(s, d).airports),
+    "airport_traffic_top15": lambda s, d: rankings.airport_traffic(one(s, d, "airports")),
+    "airport_delay_matrix": lambda s, d: rankings.airport_delay_matrix(one(s, d, "airports")),
     "airport_delay_matrix_long": lambda s, d: rankings.airport_delay_matrix_long(
-        served(s, d).airports),
-    "delay_breakdown_top12": lambda s, d: rankings.delay_breakdown(served(s, d).airlines),
-    "cancellation_top15": lambda s, d: rankings.cancellation_ranking(served(s, d).airlines),
-    "airline_table_sorted": lambda s, d: rankings.airline_table_sorted(served(s, d).airlines),
+        one(s, d, "airports")),
+    "delay_breakdown_top12": lambda s, d: rankings.delay_breakdown(one(s, d, "airlines")),
+    "cancellation_top15": lambda s, d: rankings.cancellation_ranking(one(s, d, "airlines")),
+    "airline_table_sorted": lambda s, d: rankings.airline_table_sorted(one(s, d, "airlines")),
     "airline_table_by_arrival_asc": lambda s, d: rankings.airline_table_sorted(
-        served(s, d).airlines, "arrival_delay", descending=False),
-    "airline_severity": lambda s, d: rankings.airline_severity(served(s, d).airlines),
-    "monthly_trends": lambda s, d: insights.monthly_trends(served(s, d).monthly),
-    "delay_scatter": lambda s, d: rankings.delay_scatter(served(s, d).airports),
+        one(s, d, "airlines"), "arrival_delay", descending=False),
+    "airline_severity": lambda s, d: rankings.airline_severity(one(s, d, "airlines")),
+    "monthly_trends": lambda s, d: insights.monthly_trends(one(s, d, "monthly")),
+    "delay_scatter": lambda s, d: rankings.delay_scatter(one(s, d, "airports")),
     # step 4: insights
-    "seasonality": lambda s, d: insights.seasonality(served(s, d).monthly),
-    "peak_month": lambda s, d: insights.peak_month(served(s, d).monthly),
-    "cause_shares": lambda s, d: insights.cause_shares(served(s, d).summary),
-    "best_carrier": lambda s, d: rankings.best_carrier(served(s, d).airlines, MIN_FLIGHTS),
-    "worst_carrier": lambda s, d: rankings.worst_carrier(served(s, d).airlines, MIN_FLIGHTS),
-    "busiest_airport": lambda s, d: rankings.busiest_airport(served(s, d).airports),
-    "dominant_cause": lambda s, d: insights.dominant_cause(served(s, d).summary),
-    "cancellation_grade": lambda s, d: insights.cancellation_health(served(s, d).summary),
-    "kpi_rows": lambda s, d: insights.kpi_rows(served(s, d).summary),
+    "seasonality": lambda s, d: insights.seasonality(one(s, d, "monthly")),
+    "peak_month": lambda s, d: insights.peak_month(one(s, d, "monthly")),
+    "cause_shares": lambda s, d: insights.cause_shares(one(s, d, "delaySummary")),
+    "best_carrier": lambda s, d: rankings.best_carrier(one(s, d, "airlines"), MIN_FLIGHTS),
+    "worst_carrier": lambda s, d: rankings.worst_carrier(one(s, d, "airlines"), MIN_FLIGHTS),
+    "busiest_airport": lambda s, d: rankings.busiest_airport(one(s, d, "airports")),
+    "dominant_cause": lambda s, d: insights.dominant_cause(one(s, d, "delaySummary")),
+    "cancellation_grade": lambda s, d: insights.cancellation_health(one(s, d, "delaySummary")),
+    "kpi_rows": lambda s, d: insights.kpi_rows(one(s, d, "delaySummary")),
     "insights": lambda s, d: (lambda v: insights.insights(v.airlines, v.airports, v.monthly,
                                                           v.summary, MIN_FLIGHTS))(served(s, d)),
     # step 5: keyed items, upsert, sinks and served reads
@@ -249,6 +285,9 @@ QUERIES: dict[str, Query] = {
     "grains_summary": lambda s, d: agg.summary_from_grains(agg.grain_table(flights(s, d))),
     "run_source_profile": run_source_profile,
     "streaming_by_airline": _streamed_output("airlines"),
+    "streaming_csv_by_airline": streaming_csv_by_airline,
+    "csv_sources_by_airline": csv_sources_by_airline,
+    "csv_sources_profile": csv_sources_profile,
     "streaming_by_month": _streamed_output("monthly"),
     "streaming_summary": _streamed_output("delaySummary"),
     "streaming_keyed_airlines": streaming_keyed_airlines,

@@ -12,7 +12,6 @@ pushed down to the parquet reader.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from skyroll.schemas import SourceSpec, source_specs
 
@@ -68,26 +67,6 @@ def _as_layout(raw: DataFrame, spec: SourceSpec) -> DataFrame:
     return raw.toDF(*spec.source_columns)
 
 
-def spread_scan(df: DataFrame) -> DataFrame:
-    """Spread the rows evenly over the cluster's cores when the scan has fewer
-    splits than cores (e.g. one small file with a single row group).
-
-    Row generation and string casts are CPU-bound; without this they run in
-    one task. A scan over many files (the normal case at scale) already has
-    enough splits and is left untouched, so no fact-sized shuffle is added.
-    The spread key is the row's position (``monotonically_increasing_id``:
-    partition index and row number), not its content, so a hot key or a
-    large group of identical rows is still spread evenly; it is recomputed
-    identically from the same file split, and unlike a round-robin
-    repartition it needs no local sort first.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return (df.withColumn("_spread", F.monotonically_increasing_id())
-              .repartition(cores, "_spread").drop("_spread"))
-
-
 def fixture_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     """Label -> raw string DataFrame in that layout's headers."""
     lineitem = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select(
@@ -96,11 +75,12 @@ def fixture_sources(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     # on the raw timestamp the split is a plain range predicate, which the
     # parquet reader receives as a pushed filter and can use to skip row
     # groups by their statistics; a predicate on the generated string could
-    # not be pushed. A NULL ship date falls in neither layout either way.
+    # not be pushed. A NULL ship date has no year and goes to the later layout.
     cut = f"TIMESTAMP_NTZ'{LAST_2015_YEAR - 20 + 1}-01-01 00:00:00'"
     specs = {s.label: s for s in source_specs()}
-    early = fixture_flights_raw(spread_scan(lineitem.filter(f"l_shipdate < {cut}")))
-    late = fixture_flights_raw(spread_scan(lineitem.filter(f"l_shipdate >= {cut}")))
+    early = fixture_flights_raw(lineitem.filter(f"l_shipdate < {cut}"))
+    late = fixture_flights_raw(
+        lineitem.filter(f"l_shipdate >= {cut} OR l_shipdate IS NULL"))
     return {
         "2015": _as_layout(early, specs["2015"]),
         "2018_2024": _as_layout(late, specs["2018_2024"]),

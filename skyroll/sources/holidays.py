@@ -62,11 +62,13 @@ def holiday_payloads(orders: DataFrame) -> DataFrame:
 
 
 def read_holiday_arrays(spark: SparkSession, path: str) -> DataFrame:
-    """API payload files ``<year>.json``, each one JSON array."""
+    """API payload files ``<year>.json``, each one JSON array; a malformed file
+    fails the read instead of losing its year."""
     files = spark.read.option("wholetext", "true").text(path)
     year = F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4})", 1).cast("int")
     parsed = files.select(year.alias("year"),
-                          F.from_json("value", T.ArrayType(PAYLOAD_FIELDS)).alias("items"))
+                          F.from_json("value", T.ArrayType(PAYLOAD_FIELDS),
+                                      {"mode": "FAILFAST"}).alias("items"))
     exploded = parsed.select("year", F.posexplode("items").alias("position", "h"))
     return exploded.select("year", F.col("position").cast("bigint").alias("position"),
                            *[F.col(f"h.{f.name}").alias(f.name) for f in PAYLOAD_FIELDS.fields])

@@ -3,8 +3,10 @@
 Raw files are read with ``header=true`` and no schema inference: every
 column is a string and conversion happens in ``standardise``. Inference
 would cost a second full pass over the input and guess types per file.
-Paths may be globs or directories, so a layout can span many files; the
-scan splits them into ``spark.sql.files.maxPartitionBytes`` chunks.
+Paths may be globs or directories, so a layout can span many files. Columns
+are found by header name; a file whose header differs from the first one's
+fails the read (``enforceSchema=false``) instead of being misread by position.
+The scan splits them into ``spark.sql.files.maxPartitionBytes`` chunks.
 """
 
 from __future__ import annotations
@@ -19,7 +21,8 @@ def read_raw_csv(spark: SparkSession, path: str | list[str]) -> DataFrame:
               .option("header", "true")
               .option("inferSchema", "false")
               .option("mode", "PERMISSIVE")
-              .option("multiLine", "false"))
+              .option("multiLine", "false")
+              .option("enforceSchema", "false"))
     return reader.csv(path)
 
 

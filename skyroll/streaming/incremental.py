@@ -18,20 +18,36 @@ failure leaves the same result.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
 from skyroll.operators.aggregates import additive_grain_table, grains_from_additive
 from skyroll.operators.standardise import standardise, unify
 from skyroll.plans.dashboard import outputs_from_grains
 from skyroll.plans.run import publish_outputs
-from skyroll.schemas import raw_schema, source_specs
+from skyroll.schemas import SourceSpec, raw_schema, source_specs
 from skyroll.session import scratch_path
 
 SOURCE_COL = "source"
 
 
+def landed_schema(spark: SparkSession, spec: SourceSpec) -> T.StructType:
+    """The header of the files that have landed, all strings. With a schema Spark
+    binds CSV columns by place, so the schema must be the files' own header; a
+    file with another header then fails the stream instead of being misread. An
+    empty landing folder expects the mapped columns in mapping order."""
+    try:
+        return (spark.read.option("header", "true").option("pathGlobFilter", "*.csv")
+                .csv(spec.path)).schema
+    except AnalysisException as exc:
+        if exc.getCondition() != "UNABLE_TO_INFER_SCHEMA":
+            raise
+        return raw_schema(spec)
+
+
 def flight_stream(spark: SparkSession, landing: dict[str, str],
                   max_files_per_trigger: int | None = None) -> DataFrame:
     """Streaming canonical fact over the landing folders, tagged by layout."""
@@ -39,8 +55,9 @@ def flight_stream(spark: SparkSession, landing: dict[str, str],
     for spec in source_specs(landing):
         if not spec.path:
             continue
-        reader = (spark.readStream.schema(raw_schema(spec))
+        reader = (spark.readStream.schema(landed_schema(spark, spec))
                   .option("header", "true")
+                  .option("enforceSchema", "false")
                   .option("pathGlobFilter", "*.csv"))
         if max_files_per_trigger:
             reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)

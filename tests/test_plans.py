@@ -1,5 +1,6 @@
 """Plan-shape guards for the properties the design relies on at scale."""
 
+import re
 import pytest
 
 import __spark_entry__ as entry
@@ -46,7 +47,7 @@ def test_scan_reads_only_needed_columns_with_pushed_filters(spark):
     assert scans
     for s in scans:
         assert "l_comment" not in s and "l_returnflag" not in s
-        assert "PushedFilters: [IsNotNull(l_shipdate)" in s
+        assert re.search(r"PushedFilters: \[[^\]]*l_shipdate", s)
 
 
 def test_top_k_is_bounded(spark):
