@@ -8,8 +8,8 @@
    enough loses nothing of an item's inner products.
 3. Every document is covered by overlapping windows of the items' lengths. The
    part of a window's norm that lies on benchmark words bounds its cosine with
-   every item, so most windows are settled by two running sums; the others are
-   folded into the latent space and compared with the items by cosine.
+   every item, and so does the sum of its words' latent products with the items;
+   windows that may reach the cosine are folded in and compared with the items.
 4. A candidate is confirmed word by word: the longest common subsequence of
    the item and the text around the window covers most of the item, or a good
    part of it while the item's answer (its last sentence) is there as well.
@@ -47,6 +47,7 @@ LCS_SHARE = 0.7          # of the item's words, for a match by itself
 LCS_WITH_ANSWER = 0.5    # the same where the answer is found too
 ANSWER_SHARE = 0.8       # of the answer's words
 BATCH_ROWS = 2000
+WORDS_AT_ONCE = 32768    # words of text whose products are held at a time
 _SIGNS = r"[!-@\[-`{-~]"
 
 
@@ -145,14 +146,16 @@ class Block:
         for i, w in enumerate(words):
             term, weight = passage_vector(w, vocabulary, idf)
             self.items[i] = weight @ basis[term] / max(1e-9, np.sqrt((weight ** 2).sum()))
-        known = np.zeros(1 << BUCKET_BITS, dtype=bool)
-        known[_bucket(vocabulary)] = True
-        self.known = known
         # Window lengths: powers of two that cover the items' lengths.
         self.sizes = sorted({1 << max(3, int(np.ceil(np.log2(max(1, len(w)))))) for w in words})
         self.masks = [_masks(w) for w in words]
         self.answer_masks = [_masks(w) for w in answers]
 
+    def pull(self, idf: np.ndarray) -> np.ndarray:
+        """The latent product of every term, weighted, with every item; then zeros."""
+        terms = idf[_bucket(self.vocabulary)].astype(np.float32)[:, None] * self.basis
+        return np.vstack([terms @ self.items.T, np.zeros((1, len(self.items)), np.float32)])
+
 
 def _masks(words: np.ndarray) -> dict[int, int]:
     out: dict[int, int] = {}
@@ -210,37 +213,74 @@ def fit_block(passages: DataFrame, rows: list, idf: np.ndarray) -> Block | None:
                  vocabulary, basis, idf)
 
 
+def row_sums(rows: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Sums of ``rows[start:end]`` for each pair; the last row is zero and
+    stands for what lies past an end."""
+    out = rows[np.where(start < end, start, len(rows) - 1)]
+    for j in range(1, int((end - start).max(initial=0))):
+        out += rows[np.where(start + j < end, start + j, len(rows) - 1)]
+    return out
+
+
 def candidate_windows(words: np.ndarray, at: np.ndarray, block: Block, idf: np.ndarray,
                       cosine: float = CANDIDATE_COSINE) -> Iterator[tuple]:
-    """(text, first word, last word, item, cosine) of the windows near an item."""
+    """(text, first word, last word, item, cosine) of the windows near an item.
+
+    The latent product is linear in the window's terms, so each term's product
+    with every item is folded once and added up over short units of text. With
+    tf in place of sqrt(tf) such a sum is never below the product of the
+    window's vector; only windows whose sum can reach ``cosine`` get a vector.
+    """
     bucket = _bucket(words)
     mass = idf[bucket] ** 2
-    known = block.known[bucket]
-    hit = np.flatnonzero(known)
-    place = np.searchsorted(block.vocabulary, words[hit])
+    place = np.searchsorted(block.vocabulary, words)
     place[place == len(block.vocabulary)] = 0
-    hit = hit[block.vocabulary[place] == words[hit]]
-    on_items = np.zeros(len(words))
-    on_items[hit] = mass[hit]
+    inside = block.vocabulary[place] == words
+    term_at = np.where(inside, place, len(block.vocabulary))
     total = np.concatenate([[0.0], np.cumsum(mass)])
-    shared = np.concatenate([[0.0], np.cumsum(on_items)])
+    shared = np.concatenate([[0.0], np.cumsum(mass * inside)])
+    pull = block.pull(idf)
+    unit = block.sizes[0] // 4
     first, last = at[:-1], at[1:]
+    units = -(-(last - first) // unit)
+    begin = np.concatenate([[0], np.cumsum(units)])
+    text = np.repeat(np.arange(len(first)), units)
+    starts = np.append(first[text] + (np.arange(len(text)) - begin[text]) * unit, len(words))
+    windows = []
     for size in block.sizes:
-        step = max(1, size // 4)
+        step = size // 4
         count = np.where(last > first, np.maximum(0, -(-(last - first - size) // step)) + 1, 0)
         doc = np.repeat(np.arange(len(first)), count)
         turn = np.arange(len(doc)) - np.repeat(np.cumsum(count) - count, count)
-        a = np.minimum(first[doc] + turn * step, np.maximum(first[doc], last[doc] - size))
+        a = first[doc] + turn * step
         z = np.minimum(a + size, last[doc])
-        norm2, part = total[z] - total[a], shared[z] - shared[a]
-        for k in np.flatnonzero(part >= (cosine ** 2) * norm2).tolist():
-            term, weight = passage_vector(words[a[k]:z[k]], block.vocabulary, idf)
-            if not len(term):
+        norm2 = total[z] - total[a]
+        near = np.flatnonzero(shared[z] - shared[a] >= (cosine ** 2) * norm2 - 1e-9)
+        doc, a, z, norm2 = doc[near], a[near], z[near], norm2[near]
+        u = begin[doc] + (a - first[doc]) // unit
+        windows.append((doc, a, z, np.sqrt(norm2), u,
+                        begin[doc] - (first[doc] - z) // unit))
+    span = block.sizes[-1] // unit + 1
+    at_once = max(1, WORDS_AT_ONCE // unit)
+    for lo in range(0, len(text), at_once):
+        hi = min(lo + at_once, len(text))
+        edge = starts[lo:min(hi + span, len(text)) + 1]
+        own = pull[np.append(term_at[edge[0]:edge[-1]], len(pull) - 1)]
+        sums = np.concatenate([row_sums(own, edge[:-1] - edge[0], edge[1:] - edge[0]), own[-1:]])
+        for doc, a, z, norm, u, v in windows:
+            x, y = np.searchsorted(u, (lo, hi))
+            if x == y:
                 continue
-            near = block.items @ (weight.astype(np.float32) @ block.basis[term])
-            near /= np.float32(np.sqrt(norm2[k]))
-            for i in np.flatnonzero(near >= cosine).tolist():
-                yield int(doc[k]), int(a[k]), int(z[k]), i, float(near[i])
+            most = row_sums(sums, u[x:y] - lo, v[x:y] - lo)
+            for k in (x + np.flatnonzero(
+                    (most >= ((cosine - 1e-3) * norm[x:y])[:, None]).any(axis=1))).tolist():
+                term, weight = passage_vector(words[a[k]:z[k]], block.vocabulary, idf)
+                if not len(term):
+                    continue
+                found = block.items @ (weight.astype(np.float32) @ block.basis[term])
+                found /= np.float32(max(norm[k], 1e-9))
+                for i in np.flatnonzero(found >= cosine).tolist():
+                    yield int(doc[k]), int(a[k]), int(z[k]), i, float(found[i])
 
 
 def confirm(words: np.ndarray, lo: int, hi: int, block: Block, item: int) -> tuple[float, bool]:
