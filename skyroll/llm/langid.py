@@ -41,6 +41,7 @@ SWITCH_PENALTY = 12.0    # nats that a change of language costs
 WORD_CAP = 6.0           # nats that one word may count against a language
 SCRIPT_SHARE = 0.01      # of a language's words, for the script to be its own
 WORD_CACHE = 300_000     # scored words a Python worker keeps
+WORDS_AT_ONCE = 20_000   # words scored together
 BATCH_ROWS = 2000
 
 # First and last code point of the scripts told apart.
@@ -75,38 +76,46 @@ class LanguageModel:
         self.langs, self.scripts, self.docs = langs, scripts, docs
         total = [sum(c[k] for c in counts.values()) + 0.5 * (len(counts) + 1)
                  for k in range(len(langs))]
-        self.logp = {g: np.array([math.log((c[k] + 0.5) / total[k]) for k in range(len(langs))])
-                     for g, c in counts.items()}
+        self.row = {g: i for i, g in enumerate(counts)}
+        self.logp = np.array([[math.log((c[k] + 0.5) / total[k]) for k in range(len(langs))]
+                              for c in counts.values()]).reshape(len(counts), len(langs))
         self._cache: dict[str, tuple] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"_cache": {}}
 
-    def word(self, token: str) -> tuple[int, bytes]:
-        """(letters, float32 scores): 0 for the best language, negative for others."""
-        letters = token if token.isalpha() else _NOT_LETTERS.sub("", token)
-        k = len(self.langs)
-        if not letters:
-            return 0, bytes(4 * k)
-        known = self.scripts.get(script_of(letters))
-        if known is None or not any(known):
-            return len(letters), bytes(4 * k)
-        found = [self.logp[g] for g in grams(letters) if g in self.logp]
-        s = np.sum(found, axis=0) if found else np.zeros(k)
-        s = np.where(known, s, -np.inf)
-        s = np.maximum(s - s.max(), -WORD_CAP)
-        return len(letters), s.astype(np.float32).tobytes()
+    def score(self, tokens: list[str]) -> list[tuple[int, bytes]]:
+        """(letters, float32 scores) of each word: 0 for the best language,
+        negative for others; all 0 for words of a script of no language."""
+        k, row = len(self.langs), self.row
+        letters, first, rows = [], [0], []
+        allowed = np.ones((len(tokens), k), dtype=bool)
+        for i, token in enumerate(tokens):
+            word = token if token.isalpha() else _NOT_LETTERS.sub("", token)
+            letters.append(len(word))
+            known = self.scripts.get(script_of(word)) if word else None
+            if known is not None and any(known):
+                allowed[i] = known
+                rows += [row[g] for g in grams(word) if g in row]
+            first.append(len(rows))
+        s, at = np.zeros((len(tokens), k)), np.array(first)
+        have = np.flatnonzero(at[1:] > at[:-1])
+        if len(have):
+            s[have] = np.add.reduceat(self.logp[rows], at[have], axis=0)
+        s = np.where(allowed, s, -np.inf)
+        s = np.maximum(s - s.max(axis=1, keepdims=True), -WORD_CAP).astype(np.float32)
+        return [(n, x.tobytes()) for n, x in zip(letters, s, strict=True)]
 
     def words(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Letters and scores of distinct words, through the worker's cache."""
         if len(self._cache) > WORD_CACHE:
             self._cache.clear()
-        cache, out = self._cache, []
-        for t in tokens:
-            got = cache.get(t)
-            if got is None:
-                got = cache[t] = self.word(t)
-            out.append(got)
+        cache = self._cache
+        new = [t for t in tokens if t not in cache]
+        for at in range(0, len(new), WORDS_AT_ONCE):
+            part = new[at:at + WORDS_AT_ONCE]
+            cache.update(zip(part, self.score(part), strict=True))
+        out = [cache[t] for t in tokens]
         letters = np.array([g[0] for g in out], dtype=np.int64)
         scores = np.frombuffer(b"".join(g[1] for g in out), np.float32)
         return letters, scores.reshape(len(out), len(self.langs))
