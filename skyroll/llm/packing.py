@@ -7,7 +7,9 @@ by a hash, to groups of bounded size; each group places its pieces one by one
 where the sum over residual gaps of the squared number of open sequences with
 that gap becomes smallest (a new sequence counts as one choice). Sequences that
 end with a gap are opened again and their pieces packed in fewer groups, until
-one group is left; what each round leaves open is a small share of its input.
+one group is left or a round closes less than ``LEAST_CLOSED`` of its pieces:
+these do not fill sequences exactly, in whatever groups, so that round's open
+sequences stay as they are. Every other round shrinks the rest by that share.
 
 Defined cases: a null or empty text is one piece (its end id alone); repeated
 rows and repeated or null doc_ids are pieces of their own; an empty table gives
@@ -33,6 +35,7 @@ from skyroll.llm.tokens import encoder
 SEQUENCE = 2048          # ids of a sequence
 END_ID = 0
 GROUP_PIECES = 20_000    # pieces that one task packs
+LEAST_CLOSED = 0.25      # of a round's pieces, for another round to follow
 BATCH_ROWS = 1500
 
 PIECE = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -145,11 +148,14 @@ def pack(piece_rows: DataFrame, capacity: int = SEQUENCE,
                                                 _fields(base) + ", bin_group long, "
                                                 "sequence_id long, offset long, closed boolean"),
             f"packed-{level}")
-        done.append(packed.where("closed").select(
+        todo = packed.where(~F.col("closed")).select(*base.columns)
+        rest = 0 if final else todo.count()
+        if rest > (1 - LEAST_CLOSED) * left:
+            final, rest = True, 0
+        done.append((packed if final else packed.where("closed")).select(
             *piece_rows.columns, F.lit(level).alias("level"),
             (F.col("sequence_id") + F.lit(level << 56)).alias("sequence_id"), "offset"))
-        todo = packed.where(~F.col("closed")).select(*base.columns)
-        left, level = (0 if final else todo.count()), level + 1
+        left, level = rest, level + 1
     out = done[0]
     for part in done[1:]:
         out = out.unionByName(part)

@@ -74,6 +74,19 @@ def test_packing_is_tight(spark):
     assert made <= -(-sum(r.length for r in got) // 2048) * 1.02 + 1
 
 
+@pytest.mark.parametrize("lengths", [[6] * 70, [9] * 60 + [1] * 3, [6, 7, 8] * 20 + [2, 3] * 4])
+def test_packing_ends_where_pieces_fill_no_sequence(spark, lengths):
+    rows = spark.createDataFrame([(i, 0, 0, n, i) for i, n in enumerate(lengths)], packing.PIECE)
+    got = packing.pack(rows, capacity=10, group_pieces=20).collect()
+    assert sorted((r.doc_id, r.length) for r in got) == list(enumerate(lengths))
+    seqs = defaultdict(list)
+    for r in got:
+        seqs[r.sequence_id].append((r.offset, r.length))
+    for parts in seqs.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(parts)]).tolist()]
+        assert [o for o, _ in sorted(parts)] == ends[:-1] and ends[-1] <= 10
+
+
 def test_sum_of_squares_choice_is_the_minimum():
     rng = np.random.default_rng(3)
     lengths, cap = rng.integers(1, 20, 300), 20
