@@ -33,11 +33,13 @@ HOT_SHARE = 1000
 INDEX_COLUMNS = ["digest", "keep_id", "keep_row", "n_points"]
 
 
-def digests(docs: DataFrame) -> DataFrame:
-    """(row, doc_id, n_points, digest): all that later steps need of a text."""
+def digests(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """(row, doc_id, n_points, digest): all that later steps need of a text.
+
+    ``row`` names a column of unique numbers; without it the scan gives them out."""
     text = F.coalesce(F.col("text"), F.lit(""))
     return docs.select(
-        F.monotonically_increasing_id().alias("row"),
+        (F.col(row) if row else F.monotonically_increasing_id()).alias("row"),
         F.col("doc_id"),
         F.length(text).alias("n_points"),
         F.unhex(F.sha2(F.translate(text, IGNORED, "").cast("binary"), 256)).alias("digest"))
@@ -61,15 +63,16 @@ class DigestIndex:
     def table(self) -> DataFrame:
         return self.spark.table(self.name)
 
-    def ingest(self, docs: DataFrame) -> DataFrame:
+    def ingest(self, docs: DataFrame, row: str | None = None) -> DataFrame:
         """Append what is new in ``docs``; one decision per row of ``docs``.
 
         Returns doc_id, keep_id, group_size (rows of this batch with the same
         text), kept and text_sha256. Of equal texts in the batch the row with
         the most code points, then the smallest doc_id, stays; if an earlier
         batch holds the text, its row stays and none of this batch does.
+        With ``row``, a column of unique numbers, the decisions have it too.
         """
-        rows = saved(digests(docs), "digests")
+        rows = saved(digests(docs, row), "digests")
         self.batches += 1
         groups = rows.groupBy("digest").agg(
             F.min(F.struct((-F.col("n_points")).alias("a"), F.col("doc_id").isNull().alias("b"),
@@ -88,10 +91,11 @@ class DigestIndex:
         self.spark.catalog.refreshTable(self.name)
         index = self.table().select("digest", "keep_id", "keep_row", "batch")
         verdict = groups.select("digest", "group_size").join(index.hint("merge"), "digest")
-        return self._decide(rows, saved(verdict, "digest-verdicts"), self.batches)
+        return self._decide(rows, saved(verdict, "digest-verdicts"), self.batches, row)
 
     @staticmethod
-    def _decide(rows: DataFrame, verdict: DataFrame, batch: int) -> DataFrame:
+    def _decide(rows: DataFrame, verdict: DataFrame, batch: int,
+                row: str | None = None) -> DataFrame:
         """Hand each row its group's verdict; hot groups never meet in one task."""
         total = rows.count()
         hot = verdict.where(F.col("group_size") * HOT_SHARE > total)
@@ -102,7 +106,8 @@ class DigestIndex:
         return parts.select(
             "doc_id", "keep_id", "group_size",
             ((F.col("batch") == batch) & (F.col("row") == F.col("keep_row"))).alias("kept"),
-            F.lower(F.hex("digest")).alias("text_sha256"))
+            F.lower(F.hex("digest")).alias("text_sha256"),
+            *([F.col("row").alias(row)] if row else []))
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
