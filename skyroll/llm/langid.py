@@ -3,7 +3,10 @@
 Each word gets one score per language: a naive Bayes log-likelihood over its
 character n-grams, learned from labelled documents. The script of a word (by
 Unicode ranges) first narrows the languages: only those that training saw in
-that script compete. A Viterbi pass over the words, with a penalty for every
+that script compete. Words of several scripts are cut where the script changes,
+long ones every ``PIECE_LETTERS`` letters (``DENSE_LETTERS`` in scripts without
+blanks), and each piece counts as a word does; the n-grams across a cut belong to
+the piece they begin in. A Viterbi pass over the words, with a penalty for every
 change of language, labels the spans; the language with the most letters wins.
 
 Most texts are in one language throughout. A text skips the Viterbi recursion
@@ -15,7 +18,8 @@ Learning uses a bounded sample (about ``FIT_PER_LANG`` documents of each
 language); prediction covers every whole text in one map-only pass.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0;
-words in a script no learned language uses are neutral; a text of such words
+words in a script no learned language uses are neutral; a word in which the
+language changes is in both spans, and the later one has ``first_char`` above 0; a text of such words
 only gets the most frequent learned language with score 1/languages; without
 training rows everything is ``und``; extra columns are ignored.
 """
@@ -26,6 +30,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -40,6 +45,8 @@ MAX_GRAMS = 60000        # n-grams of the model, by count
 SWITCH_PENALTY = 12.0    # nats that a change of language costs
 WORD_CAP = 6.0           # nats that one word may count against a language
 SCRIPT_SHARE = 0.01      # of a language's words, for the script to be its own
+PIECE_LETTERS = 40       # letters of a word that are scored together
+DENSE_LETTERS = 6        # the same in scripts that write without blanks
 WORD_CACHE = 300_000     # scored words a Python worker keeps
 WORDS_AT_ONCE = 20_000   # words scored together
 BATCH_ROWS = 2000
@@ -48,11 +55,24 @@ BATCH_ROWS = 2000
 SCRIPTS = [("latin", 0x41, 0x24F), ("greek", 0x370, 0x3FF), ("cyrillic", 0x400, 0x52F),
            ("armenian", 0x530, 0x58F), ("hebrew", 0x590, 0x5FF), ("arabic", 0x600, 0x77F),
            ("devanagari", 0x900, 0x97F), ("thai", 0xE00, 0xE7F), ("georgian", 0x10A0, 0x10FF),
-           ("latin", 0x1E00, 0x1EFF), ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF),
-           ("hangul", 0xAC00, 0xD7AF)]
+           ("latin", 0x1E00, 0x1EFF), ("han", 0x3005, 0x3007),
+           ("kana", 0x3040, 0x30FF), ("han", 0x3400, 0x9FFF), ("hangul", 0xAC00, 0xD7AF)]
+DENSE = {"han", "kana", "thai"}
 _NOT_LETTERS = re.compile(r"[\W\d_]+")
 
 
+def _one_script() -> re.Pattern:
+    """Matches a run of letters of one script and names it."""
+    by: dict[str, str] = {}
+    for name, lo, hi in SCRIPTS:
+        by[name] = by.get(name, "") + f"{chr(lo)}-{chr(hi)}".replace("[", r"\[")
+    parts = [f"(?P<{name}>[{chars}]+)" for name, chars in by.items()]
+    return re.compile("|".join([*parts, f"(?P<other>[^{''.join(by.values())}]+)"]))
+
+
+_RUN = _one_script()
+
+
 def script_of(word: str) -> str:
     """Script of the first letter; 'other' outside the listed ranges."""
     c = ord(word[0])
@@ -62,10 +82,48 @@ def script_of(word: str) -> str:
     return "other"
 
 
-def grams(word: str) -> list[str]:
+class Piece(NamedTuple):
+    """Letters of one script: ``text`` has word ends marked and up to three
+    letters that follow; n-grams begin at its first ``n`` places."""
+
+    text: str
+    n: int
+    letters: int
+    script: str
+
+
+def pieces(word: str) -> list[tuple[int, Piece]]:
+    """(first letter, piece) of a word of letters; the pieces cover all of it."""
+    if len(word) <= PIECE_LETTERS and word.isascii():
+        return [(0, Piece(f"^{word}$", len(word) + 2, len(word), script_of(word)))] if word else []
+    out = []
+    for run in _RUN.finditer(word):
+        size = DENSE_LETTERS if run.lastgroup in DENSE else PIECE_LETTERS
+        marked, letters = f"^{run[0]}$", len(run[0])
+        for a in range(0, letters, size):
+            z = min(a + size, letters)
+            lo, hi = (a + 1 if a else 0), (z + 1 if z < letters else letters + 2)
+            out.append((run.start() + a, Piece(marked[lo:hi + 3], hi - lo, z - a, run.lastgroup)))
+    return out
+
+
+def grams(piece: Piece) -> list[str]:
     """Character n-grams of one to four letters, word ends marked."""
-    w = f"^{word[:40]}$"
-    return [w[i:i + n] for n in (2, 3, 4) for i in range(len(w) - n + 1)] + list(w[1:-1])
+    w, k = piece.text, piece.n
+    return ([w[i:i + n] for n in (2, 3, 4) for i in range(min(k, len(w) - n + 1))]
+            + [c for c in w[:k] if c not in "^$"])
+
+
+def token_pieces(token: str) -> list[tuple[int, str | Piece]]:
+    """(first character, piece) of a token; one that is not cut stands for itself."""
+    if len(token) <= PIECE_LETTERS and token.isascii():
+        return [(0, token)]
+    word = _NOT_LETTERS.sub("", token)
+    found = pieces(word)
+    if len(found) < 2:
+        return [(0, token)]
+    at = [i for i, c in enumerate(token) if not _NOT_LETTERS.match(c)]
+    return [(at[first] if first else 0, piece) for first, piece in found]
 
 
 class LanguageModel:
@@ -84,19 +142,21 @@ class LanguageModel:
     def __getstate__(self):
         return self.__dict__ | {"_cache": {}}
 
-    def score(self, tokens: list[str]) -> list[tuple[int, bytes]]:
-        """(letters, float32 scores) of each word: 0 for the best language,
+    def score(self, tokens: list[str | Piece]) -> list[tuple[int, bytes]]:
+        """(letters, float32 scores) of each word or piece: 0 for the best language,
         negative for others; all 0 for words of a script of no language."""
         k, row = len(self.langs), self.row
         letters, first, rows = [], [0], []
         allowed = np.ones((len(tokens), k), dtype=bool)
         for i, token in enumerate(tokens):
-            word = token if token.isalpha() else _NOT_LETTERS.sub("", token)
-            letters.append(len(word))
-            known = self.scripts.get(script_of(word)) if word else None
+            if isinstance(token, str):
+                word = token if token.isalpha() else _NOT_LETTERS.sub("", token)
+                token = next((p for _, p in pieces(word)), None)
+            letters.append(token.letters if token else 0)
+            known = self.scripts.get(token.script) if token else None
             if known is not None and any(known):
                 allowed[i] = known
-                rows += [row[g] for g in grams(word) if g in row]
+                rows += [row[g] for g in grams(token) if g in row]
             first.append(len(rows))
         s, at = np.zeros((len(tokens), k)), np.array(first)
         have = np.flatnonzero(at[1:] > at[:-1])
@@ -106,7 +166,7 @@ class LanguageModel:
         s = np.maximum(s - s.max(axis=1, keepdims=True), -WORD_CAP).astype(np.float32)
         return [(n, x.tobytes()) for n, x in zip(letters, s, strict=True)]
 
-    def words(self, tokens: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def words(self, tokens: list[str | Piece]) -> tuple[np.ndarray, np.ndarray]:
         """Letters and scores of distinct words, through the worker's cache."""
         if len(self._cache) > WORD_CACHE:
             self._cache.clear()
@@ -165,7 +225,8 @@ def _unswitched(scores: np.ndarray, first: np.ndarray, best: np.ndarray) -> np.n
 
 
 def label_batch(texts: pa.Array, model: LanguageModel) -> list[tuple]:
-    """(lang, score, spans) of each text; spans are (first word, words, lang)."""
+    """(lang, score, spans) of each text; spans are (first word, words, lang,
+    character of the first word where it begins)."""
     n, k = len(texts), len(model.langs)
     if not k:
         return [("und", 0.0, [])] * n
@@ -174,7 +235,16 @@ def label_batch(texts: pa.Array, model: LanguageModel) -> list[tuple]:
     coded = split.values.slice(first[0], first[-1] - first[0]).dictionary_encode()
     first = first - first[0]
     idx = coded.indices.to_numpy(zero_copy_only=False)
-    letters_of, scores_of = model.words(coded.dictionary.to_numpy(zero_copy_only=False).tolist())
+    cut = [token_pieces(t) for t in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
+    letters_of, scores_of = model.words([p for own in cut for _, p in own])
+    # From words to pieces: of each piece its word in the text and its place in it.
+    size = np.array([len(own) for own in cut], dtype=np.int64)
+    char = np.array([c for own in cut for c, _ in own], dtype=np.int64)
+    begin, count = np.cumsum(size) - size, size[idx]
+    place = np.concatenate([[0], np.cumsum(count)])
+    word = np.repeat(np.arange(len(idx)) - np.repeat(first[:-1], np.diff(first)), count)
+    idx = np.repeat(begin[idx] - place[:-1], count) + np.arange(place[-1])
+    first = place[first]
     letters, scores = letters_of[idx], scores_of[idx]
     sums = np.zeros((n, k))
     total = np.zeros(n, dtype=np.int64)
@@ -193,7 +263,7 @@ def label_batch(texts: pa.Array, model: LanguageModel) -> list[tuple]:
             continue
         a, b = first[i], first[i + 1]
         if plain[i]:
-            share, win, spans = 1.0, int(best[i]), [(0, int(b - a), model.langs[best[i]])]
+            share, win, spans = 1.0, int(best[i]), [(0, int(word[b - 1]) + 1, model.langs[best[i]], 0)]
         else:
             path = viterbi(scores[a:b], SWITCH_PENALTY)
             mass = np.bincount(path, weights=letters[a:b], minlength=k)
@@ -201,7 +271,9 @@ def label_batch(texts: pa.Array, model: LanguageModel) -> list[tuple]:
             share = float(mass[win] / total[i])
             cut = np.flatnonzero(np.diff(path)) + 1
             ends = [0, *cut.tolist(), int(b - a)]
-            spans = [(p, q - p, model.langs[path[p]]) for p, q in zip(ends, ends[1:], strict=False)]
+            spans = [(int(word[a + p]), int(word[a + q - 1] - word[a + p]) + 1,
+                      model.langs[path[p]], int(char[idx[a + p]]))
+                     for p, q in zip(ends, ends[1:], strict=False)]
         if not sums[i].any():
             out.append((model.langs[win], 1.0 / k, spans))
             continue
@@ -236,10 +308,11 @@ def train_languages(docs: DataFrame) -> LanguageModel:
                                   strict=True):
                 c = by.setdefault(lang, Counter())
                 for w, n in Counter(_NOT_LETTERS.sub(" ", text.lower()).split()).items():
-                    for g in grams(w):
-                        c[g] += n
-                    c["script " + script_of(w)] += n
-                    c["words"] += n
+                    for _, piece in pieces(w):
+                        for g in grams(piece):
+                            c[g] += n
+                        c["script " + piece.script] += n
+                        c["words"] += n
             rows = [(lang, g, n) for lang, c in by.items() for g, n in c.items()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.string()),
@@ -269,10 +342,11 @@ def label_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         span = pa.list_(pa.struct([("first_word", pa.int32()), ("n_words", pa.int32()),
-                                   ("lang", pa.string())]))
+                                   ("lang", pa.string()), ("first_char", pa.int32())]))
         for b in batches:
             got = label_batch(b.column("text"), m)
-            spans = [[{"first_word": p, "n_words": q, "lang": s} for p, q, s in g[2]] for g in got]
+            spans = [[{"first_word": p, "n_words": q, "lang": s, "first_char": c}
+                      for p, q, s, c in g[2]] for g in got]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array([g[0] for g in got], pa.string()),
                  pa.array([g[1] for g in got], pa.float64()), pa.array(spans, span)],
@@ -280,7 +354,7 @@ def label_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
 
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         label, "doc_id long, lang_pred string, score double, "
-               "spans array<struct<first_word:int,n_words:int,lang:string>>"))
+               "spans array<struct<first_word:int,n_words:int,lang:string,first_char:int>>"))
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
