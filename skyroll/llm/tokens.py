@@ -10,7 +10,8 @@ case, so the ids are those of the whole text:
 
 Within a piece, a run of letters with plain punctuation after it is exactly
 two pre-tokens, which the library's BPE model encodes directly; every other
-piece goes through the whole tokenizer.
+piece goes through the whole tokenizer, and so does every text with the
+literal of an added token.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 WORD_CACHE = 250_000     # pieces of a generation of a worker's cache
@@ -46,7 +48,8 @@ class PieceEncoder:
     def __init__(self, path: str, keep_blanks: bool):
         self.keep_blanks = keep_blanks
         self.tokenizer = Tokenizer.from_str(Path(path).read_text(encoding="utf-8"))
-        self.tokenizer.encode_special_tokens = True  # their strings are ordinary text
+        self.literals = sorted({t.content for t in
+                                self.tokenizer.get_added_tokens_decoder().values()})
         self.model = self.tokenizer.model
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
@@ -117,10 +120,24 @@ class PieceEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts (nulls are empty) and where each text's ids begin."""
+        texts = texts.fill_null("")
+        special = np.zeros(len(texts), dtype=bool)
+        for literal in self.literals:
+            special |= pc.match_substring(texts, literal, ignore_case=True).to_numpy(
+                zero_copy_only=False)
+        if not special.any():
+            return self._encode(texts)
+        ids, at = self._encode(pc.if_else(pa.array(special), pa.scalar("", texts.type), texts))
+        parts = [ids[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        for i in np.flatnonzero(special).tolist():
+            parts[i] = np.frombuffer(self._whole(texts[i].as_py()), np.uint32)
+        return np.concatenate(parts), np.concatenate([[0], np.cumsum([len(p) for p in parts])])
+
+    def _encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` for texts without nulls and literals of added tokens."""
         if len(self.young) > WORD_CACHE:
             self.young, self.old = {}, self.young
         n = len(texts)
-        texts = texts.fill_null("")
         wide = pa.types.is_large_string(texts.type)
         raw = texts.buffers()
         if not n or raw[2] is None:
