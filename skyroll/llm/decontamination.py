@@ -10,6 +10,8 @@
    part of a window's norm that lies on benchmark words bounds its cosine with
    every item, and so does the sum of its words' latent products with the items;
    windows that may reach the cosine are folded in and compared with the items.
+   Beside them, every place where an item stands word by word is a candidate,
+   whatever its words weigh.
 4. A candidate is confirmed word by word: the longest common subsequence of
    the item and the text around the window covers most of the item, or a good
    part of it while the item's answer (its last sentence) is there as well.
@@ -17,8 +19,8 @@
 The benchmark is the query set: it is read in blocks, and each pass over the
 corpus serves ``BLOCKS_PER_PASS`` blocks.
 
-Defined cases: null or empty texts match nothing, neither as documents nor as
-items; repeated items and repeated doc_ids give a row each; an empty benchmark
+Defined cases: null texts and texts without words (empty, or signs only) match
+nothing, neither as documents nor as items; numbers are words; repeated items and repeated doc_ids give a row each; an empty benchmark
 or corpus gives no rows; extra columns are ignored.
 """
 
@@ -26,7 +28,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from itertools import islice
+from itertools import chain, islice
 
 import numpy as np
 import pyarrow as pa
@@ -48,11 +50,11 @@ LCS_WITH_ANSWER = 0.5    # the same where the answer is found too
 ANSWER_SHARE = 0.8       # of the answer's words
 BATCH_ROWS = 2000
 WORDS_AT_ONCE = 32768    # words of text whose products are held at a time
-_SIGNS = r"[!-@\[-`{-~]"
+_SIGNS = r"[!-/:-@\[-`{-~]"
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of lower-cased words without ASCII signs and digits."""
+    """Hashes of lower-cased words without ASCII signs; digits are words too."""
     plain = pc.replace_substring_regex(pc.utf8_lower(texts.fill_null("")), _SIGNS, " ")
     return word_hashes(plain)
 
@@ -123,9 +125,7 @@ def randomized_svd(passages: DataFrame, size: int, rank: int, steps: int = POWER
                 ["term", "vec"])
 
         def add(key: tuple, rows):
-            out = rows.head(1).copy()
-            out.at[out.index[0], "vec"] = np.sum(np.stack(rows["vec"].to_numpy()), axis=0)
-            return out
+            return rows.head(1).assign(vec=[np.sum(np.stack(rows["vec"].to_numpy()), axis=0)])
 
         got = (passages.mapInArrow(multiply, "term int, vec array<double>")
                .groupBy("term").applyInPandas(add, "term int, vec array<double>")).toArrow()
@@ -150,6 +150,9 @@ class Block:
         self.sizes = sorted({1 << max(3, int(np.ceil(np.log2(max(1, len(w)))))) for w in words})
         self.masks = [_masks(w) for w in words]
         self.answer_masks = [_masks(w) for w in answers]
+        # Each item is looked for by its word of the highest weight.
+        self.anchor_at = [int(idf[_bucket(w)].argmax()) for w in words]
+        self.anchors = np.unique([w[k] for w, k in zip(words, self.anchor_at, strict=True)])
 
     def pull(self, idf: np.ndarray) -> np.ndarray:
         """The latent product of every term, weighted, with every item; then zeros."""
@@ -283,6 +286,28 @@ def candidate_windows(words: np.ndarray, at: np.ndarray, block: Block, idf: np.n
                     yield int(doc[k]), int(a[k]), int(z[k]), i, float(found[i])
 
 
+def literal_copies(words: np.ndarray, at: np.ndarray, block: Block) -> Iterator[tuple]:
+    """(text, first word, last word, item, cosine) of the places where an item
+    stands word by word."""
+    near = np.searchsorted(block.anchors, words)
+    near[near == len(block.anchors)] = 0
+    hits = np.flatnonzero(block.anchors[near] == words)
+    hits = hits[np.argsort(words[hits], kind="stable")]
+    found = words[hits]
+    for i, (item, k) in enumerate(zip(block.words, block.anchor_at, strict=True)):
+        lo, hi = np.searchsorted(found, item[k], "left"), np.searchsorted(found, item[k], "right")
+        a = hits[lo:hi] - k
+        a = a[(a >= 0) & (a + len(item) <= len(words))]
+        for j, w in enumerate(item):
+            if not len(a):
+                break
+            a = a[words[a + j] == w]
+        doc = np.searchsorted(at, a, side="right") - 1
+        inside = a + len(item) <= at[doc + 1]
+        for d, x in zip(doc[inside].tolist(), a[inside].tolist(), strict=True):
+            yield d, x, x + len(item), i, 1.0
+
+
 def confirm(words: np.ndarray, lo: int, hi: int, block: Block, item: int) -> tuple[float, bool]:
     """(share of the item in the common subsequence, is the answer there)"""
     around = words[lo:hi].tolist()
@@ -305,7 +330,8 @@ def search(docs: DataFrame, blocks: list[Block], idf: np.ndarray) -> DataFrame:
             out = []
             for block in own:
                 best: dict[tuple[int, int], tuple] = {}
-                for doc, a, z, i, cos in candidate_windows(words, at, block, weights):
+                for doc, a, z, i, cos in chain(literal_copies(words, at, block),
+                                               candidate_windows(words, at, block, weights)):
                     margin = len(block.words[i]) // 2
                     lo, hi = max(int(at[doc]), a - margin), min(int(at[doc + 1]), z + margin)
                     share, found = confirm(words, lo, hi, block, i)
