@@ -30,6 +30,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -110,10 +111,13 @@ def pieces(word: str) -> list[tuple[int, Piece]]:
 def grams(piece: Piece) -> list[str]:
     """Character n-grams of one to four letters, word ends marked."""
     w, k = piece.text, piece.n
+    if k == len(w):  # a whole run
+        return [w[i:i + n] for n in (2, 3, 4) for i in range(k - n + 1)] + list(w[1:-1])
     return ([w[i:i + n] for n in (2, 3, 4) for i in range(min(k, len(w) - n + 1))]
             + [c for c in w[:k] if c not in "^$"])
 
 
+@lru_cache(WORD_CACHE)
 def token_pieces(token: str) -> list[tuple[int, str | Piece]]:
     """(first character, piece) of a token; one that is not cut stands for itself."""
     if len(token) <= PIECE_LETTERS and token.isascii():
@@ -235,16 +239,22 @@ def label_batch(texts: pa.Array, model: LanguageModel) -> list[tuple]:
     coded = split.values.slice(first[0], first[-1] - first[0]).dictionary_encode()
     first = first - first[0]
     idx = coded.indices.to_numpy(zero_copy_only=False)
-    cut = [token_pieces(t) for t in coded.dictionary.to_numpy(zero_copy_only=False).tolist()]
-    letters_of, scores_of = model.words([p for own in cut for _, p in own])
-    # From words to pieces: of each piece its word in the text and its place in it.
-    size = np.array([len(own) for own in cut], dtype=np.int64)
-    char = np.array([c for own in cut for c, _ in own], dtype=np.int64)
-    begin, count = np.cumsum(size) - size, size[idx]
-    place = np.concatenate([[0], np.cumsum(count)])
-    word = np.repeat(np.arange(len(idx)) - np.repeat(first[:-1], np.diff(first)), count)
-    idx = np.repeat(begin[idx] - place[:-1], count) + np.arange(place[-1])
-    first = place[first]
+    tokens = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    word = np.arange(len(idx)) - np.repeat(first[:-1], np.diff(first))
+    char = np.zeros(len(tokens), dtype=np.int64)
+    cut = {i: own for i, t in enumerate(tokens) if len(t) > PIECE_LETTERS or not t.isascii()
+           if len(own := token_pieces(t)) > 1}
+    if cut:  # from words to pieces: of each its word in the text and its place in it
+        every = [cut.get(i) or ((0, t),) for i, t in enumerate(tokens)]
+        tokens = [p for own in every for _, p in own]
+        size = np.array([len(own) for own in every], dtype=np.int64)
+        char = np.array([c for own in every for c, _ in own], dtype=np.int64)
+        begin, count = np.cumsum(size) - size, size[idx]
+        place = np.concatenate([[0], np.cumsum(count)])
+        word = np.repeat(word, count)
+        idx = np.repeat(begin[idx] - place[:-1], count) + np.arange(place[-1])
+        first = place[first]
+    letters_of, scores_of = model.words(tokens)
     letters, scores = letters_of[idx], scores_of[idx]
     sums = np.zeros((n, k))
     total = np.zeros(n, dtype=np.int64)
