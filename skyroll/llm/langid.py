@@ -111,7 +111,7 @@ def pieces(word: str) -> list[tuple[int, Piece]]:
 def grams(piece: Piece) -> list[str]:
     """Character n-grams of one to four letters, word ends marked."""
     w, k = piece.text, piece.n
-    if k == len(w):  # a whole run
+    if k == len(w) and w[0] == "^":  # a whole run
         return [w[i:i + n] for n in (2, 3, 4) for i in range(k - n + 1)] + list(w[1:-1])
     return ([w[i:i + n] for n in (2, 3, 4) for i in range(min(k, len(w) - n + 1))]
             + [c for c in w[:k] if c not in "^$"])
