@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from skyroll.operators import aggregates as agg
 from skyroll.registry import flights
 
-from conftest import SF_SMALL, rows
+from support import SF_SMALL, rows
 
 
 @pytest.fixture(scope="module")

@@ -4,7 +4,7 @@ from skyroll.sources.holidays import (
     archive_holidays, holiday_store, holidays_by_date, read_holiday_archive, read_holiday_arrays,
 )
 
-from conftest import rows
+from support import rows
 
 
 def _write_year(path, year, items):

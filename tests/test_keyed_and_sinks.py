@@ -11,7 +11,7 @@ from skyroll.sinks.json_out import write_json_output
 from skyroll.sinks.keyed import KeyedStore, keyed_items, merge_items
 from skyroll.sources.json_lines import read_json_output
 
-from conftest import rows
+from support import rows
 
 
 def test_keyed_items_skip_null_keys_and_use_decimals(spark):

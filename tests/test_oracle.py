@@ -7,10 +7,14 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from skyroll.oracle import oracle_sql
+from skyroll.registry import queries
 
-from conftest import SF_SMALL
+from support import SF_SMALL
 
-NAMES = sorted(entry.queries())
+# The training-data queries of the entry have their own tests.
+QUERIES, ORACLE = queries(), oracle_sql()
+NAMES = sorted(QUERIES)
 
 
 @pytest.fixture(scope="module")
@@ -36,7 +40,8 @@ def _sorted(rows):
 
 
 def test_every_query_has_an_oracle():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(ORACLE) == set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLE) <= set(entry.oracle_sql())
 
 
 def test_entry_smoke(spark):
@@ -46,10 +51,10 @@ def test_entry_smoke(spark):
 
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, duck, name):
-    df = entry.queries()[name](spark, SF_SMALL)
+    df = QUERIES[name](spark, SF_SMALL)
     names = df.columns
     got = _sorted([tuple(_norm(r[c]) for c in sorted(names)) for r in df.collect()])
-    cur = duck.execute(entry.oracle_sql()[name])
+    cur = duck.execute(ORACLE[name])
     dnames = [d[0] for d in cur.description]
     assert sorted(dnames) == sorted(names)
     idx = [dnames.index(c) for c in sorted(names)]

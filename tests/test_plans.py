@@ -8,7 +8,7 @@ from skyroll.operators.aggregates import grain_table
 from skyroll.plans.run import labelled_flights
 from skyroll.registry import raw_sources
 
-from conftest import SF_SMALL
+from support import SF_SMALL
 
 # Queries whose plans are pure (building them runs no job with side effects).
 PURE = ["by_airline", "by_airport_top50", "by_month", "summary", "unified_flights",

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from support import SF_SMALL
 from skyroll.functions.casts import typed_sql
 from skyroll.schemas import source_specs
 from skyroll.sources.fixture import fixture_sources

@@ -10,7 +10,7 @@ from skyroll.sources.fixture import fixture_sources
 from skyroll.sources.json_lines import read_json_output
 from skyroll.sources.served import DatasetNotReady, load_dataset
 
-from conftest import SF_SMALL, rows
+from support import SF_SMALL, rows
 
 
 def _json_rows(spark, folder, schema):

@@ -6,7 +6,7 @@ from skyroll.registry import flights, raw_sources
 from skyroll.sources.json_lines import read_json_output
 from skyroll.streaming.incremental import start_incremental_run
 
-from conftest import SF_SMALL, rows
+from support import SF_SMALL, rows
 
 
 def _land(raw, root, parts=4):
