@@ -1,11 +1,6 @@
-import os
-import sys
-
 import pytest
 
-sys.path.insert(0, os.path.dirname(__file__))
-
-from llm_cases import EDGE_ROWS, frame  # noqa: E402
+from llm_cases import EDGE_ROWS, frame
 
 
 @pytest.fixture(scope="session")
