@@ -248,10 +248,12 @@ def summary_from_grains(table: DataFrame) -> DataFrame:
 # usable as incremental state (streaming, or appending a new month of files).
 
 def additive_grain_table(flights: DataFrame,
-                         extra_sets: dict[str, list[str]] | None = None) -> DataFrame:
-    sets = dict(GRAIN_SETS)
-    sets.update(extra_sets or {})
-    keys = list(GRAIN_KEYS)
+                         extra_sets: dict[str, list[str]] | None = None,
+                         by: list[str] | None = None) -> DataFrame:
+    """``by`` names columns that are grouped on in every set (e.g. the source file)."""
+    by = by or []
+    sets = {name: [*by, *cols] for name, cols in {**GRAIN_SETS, **(extra_sets or {})}.items()}
+    keys = [*by, *GRAIN_KEYS]
     for cols in sets.values():
         keys += [c for c in cols if c not in keys]
     aggs = [F.grouping_id(*keys).alias("_gid"), F.expr("count(1) AS n")]

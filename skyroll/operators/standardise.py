@@ -38,7 +38,9 @@ def _resolve(columns: list[str], wanted: str) -> int:
     raise MissingColumnError(f"source column {wanted!r} is ambiguous in {columns}")
 
 
-def standardise(raw: DataFrame, spec: SourceSpec) -> DataFrame:
+def standardise(raw: DataFrame, spec: SourceSpec,
+                carried: list[str] | None = None) -> DataFrame:
+    """``carried`` names columns of ``raw`` that come along unchanged."""
     cols = raw.columns
     positions = [_resolve(cols, src) for _, src, _ in spec.columns]
     if len({c.lower() for c in cols}) == len(cols):
@@ -48,7 +50,8 @@ def standardise(raw: DataFrame, spec: SourceSpec) -> DataFrame:
         named = raw.toDF(*[f"_c{i}" for i in range(len(cols))])
         refs = [f"_c{i}" for i in positions]
     return named.selectExpr(*[f"{typed_sql(ref, kind)} AS `{canon}`"
-                              for ref, (canon, _, kind) in zip(refs, spec.columns)])
+                              for ref, (canon, _, kind) in zip(refs, spec.columns)],
+                            *[f"`{named.columns[cols.index(c)]}` AS `{c}`" for c in carried or []])
 
 
 def unify(parts: list[DataFrame]) -> DataFrame:

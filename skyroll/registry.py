@@ -19,6 +19,7 @@ from skyroll.operators.standardise import flights_from_sources, standardise
 from skyroll.plans.dashboard import DIRECT, outputs_from_grains, served_from_flights, served_output
 from skyroll.plans.replay import output_schemas, replay
 from skyroll.plans.run import run
+from skyroll.registry_input import QUERIES as INPUT_QUERIES
 from skyroll.schemas import KEYED_OUTPUTS, source_specs
 from skyroll.session import checkpointed, scratch_path
 from skyroll.sinks.csv_out import write_csv
@@ -301,4 +302,4 @@ QUERIES: dict[str, Query] = {
 
 
 def queries() -> dict[str, Query]:
-    return dict(QUERIES)
+    return {**QUERIES, **INPUT_QUERIES}
