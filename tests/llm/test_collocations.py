@@ -1,12 +1,13 @@
 """Phrase collocations against counts of all sequences, one by one."""
 
+import random
 import re
 from collections import Counter
 
 import duckdb
 import pytest
 
-from llm_cases import EDGE_ROWS, frame
+from llm_cases import EDGE_ROWS
 from skyroll.llm import collocations
 from skyroll.llm.common import saved
 
@@ -66,12 +67,36 @@ def rows_of(df):
     return {(r["lang"], r["rank"], r.phrase, r.a, r.l, r.r, r.n, r.score) for r in df.collect()}
 
 
-@pytest.mark.parametrize("longest", [3, 4])
-def test_against_counts_by_hand(spark, longest):
-    got = rows_of(collocations.collocations(table(spark, ROWS), longest, least=10, top=300))
+# words sent to the tasks as ids, and edges counted as texts
+@pytest.mark.parametrize("longest,words_sent", [(2, 10**6), (2, 0), (3, 10**6), (3, 0), (4, 10**6),
+                                                (4, 0)])
+def test_against_counts_by_hand(spark, longest, words_sent):
+    got = rows_of(collocations.collocations(table(spark, ROWS), longest, 10, top=300,
+                                            words_sent=words_sent))
     assert got == by_hand(ROWS, longest, 10, 50, 300)
 
 
+def test_rare_words_beside_frequent_ones(spark):
+    r = random.Random(3)
+    few, many = [f"f{i}" for i in range(8)], [f"r{i}" for i in range(400)]
+    rows = [(r.choice(["en", "de"]), " ".join(
+        r.choice(few) if r.random() < 0.8 else r.choice(many) for _ in range(r.randint(0, 40)))
+        .replace(" f7 ", r.choice([" f7. ", " f7 "]))) for _ in range(300)]
+    want = by_hand(rows, 4, 10, 50, 2000)
+    for words_sent in (10**6, 0):
+        got = rows_of(collocations.collocations(table(spark, rows), 4, 10, words_sent=words_sent))
+        assert got == want
+
+
+def test_many_small_tallies_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(collocations, "IDS_AT_ONCE", 50)
+    monkeypatch.setattr(collocations, "TALLY", 20)
+    want = by_hand(ROWS, 3, 10, 50, 300)
+    for words_sent in (10**6, 0):
+        got = collocations.collocations(table(spark, ROWS), top=300, words_sent=words_sent)
+        assert rows_of(got) == want
+
+
 def test_edge_rows_and_empty_table(spark, edge, none):
     rows = [("en", t) for _, t in EDGE_ROWS] * 3
     got = rows_of(collocations.collocations(edge.unionAll(edge).unionAll(edge), least=3))
