@@ -20,9 +20,11 @@ from skyroll.functions.labels import (
 )
 from skyroll.functions.measures import num, pct
 from skyroll.operators.rankings import best_carrier, busiest_airport, worst_carrier
-from skyroll.schemas import CAUSES
+from skyroll.schemas import CAUSES, SUMMARY_MEANS
 
 DERIVED_DIGITS = 4
+# Fact column behind each of ``CAUSES``, in the same order.
+CAUSE_COLUMNS = [{alias: source for alias, source, _ in SUMMARY_MEANS}[a] for _, a in CAUSES]
 
 # Insight kinds and titles, in display order.
 INSIGHT_TITLES = [
@@ -183,3 +185,71 @@ def insights(airlines: DataFrame, airports: DataFrame, monthly: DataFrame,
                  kind=F.col("grade"), note=F.col("note")),
     ]
     return reduce(lambda a, b: a.unionByName(b), parts)
+
+
+def insights_from_grains(table: DataFrame, min_flights: int) -> DataFrame:
+    """The same insight rows from a grain table in one pass: a single aggregate with
+    a filter per part gathers one record for each insight, and ``inline`` turns those
+    that exist into rows. Calendar months are twelve (sum, count) pairs of that
+    aggregate. Served rows only: groups without a key take no part."""
+    grain, arrival, flights = F.col("grain"), num("ARRIVAL_DELAY"), F.col("n")
+    carrier = ((grain == "airline") & F.col("AIRLINE").isNotNull()
+               & (flights.cast("double") > min_flights))
+    airport = (grain == "airport") & F.col("ORIGIN_AIRPORT").isNotNull()
+    month = (grain == "month") & F.col("YEAR").isNotNull() & F.col("MONTH").isNotNull()
+    cents = F.round(arrival * 100).cast("bigint")
+
+    def first_by(part: Column, key: str, order: Column) -> Column:
+        record = F.struct(F.col(key).alias("key"), arrival.alias("value"),
+                          flights.cast("bigint").alias("flights"))
+        return F.min_by(record, F.when(part, F.struct(order, F.col(key))))
+
+    seen = [F.count_if(month & (F.col("MONTH") == m)) for m in range(1, 13)]
+    sums = [F.sum(F.when(month & (F.col("MONTH") == m), cents)) for m in range(1, 13)]
+    means = F.array(*[
+        F.when(n > 0, F.struct((s / (n * F.lit(100.0))).alias("mean"), F.lit(-m).alias("m")))
+        for m, (n, s) in enumerate(zip(seen, sums), start=1)])
+    causes = [num(F.max(F.when(grain == "all", F.col(source)))) for source in CAUSE_COLUMNS]
+    parts = table.agg(
+        first_by(carrier, "AIRLINE", arrival).alias("best"),
+        first_by(carrier, "AIRLINE", -arrival).alias("worst"),
+        F.count_if(carrier).alias("eligible"),
+        first_by(airport, "ORIGIN_AIRPORT", -flights).alias("busiest"),
+        F.array_compact(means).alias("season"),
+        F.array(*[F.struct(v.alias("value"), F.lit(-i).alias("i"))
+                  for i, v in enumerate(causes)]).alias("causes"),
+        F.max(F.when(grain == "all", F.col("CANCELLED"))).alias("rate"))
+    network = F.aggregate("season", F.lit(0.0), lambda a, x: a + x["mean"]) / F.size("season")
+    parts = parts.select(
+        "*", F.array_max("season").alias("peak"), F.array_max("causes").alias("cause"),
+        F.when(F.size("season") > 0, network).alias("network"),
+        F.aggregate("causes", F.lit(0.0), lambda a, x: a + x["value"]).alias("total"))
+    names = F.array(*[F.lit(label) for label, _ in CAUSES])
+    delta = F.when(F.col("network") != 0,
+                   (F.col("peak.mean") - F.col("network")) / F.col("network") * 100).otherwise(0.0)
+    grade = cancellation_grade(num("rate") * 100)
+
+    def row(ord_: int, there: Column, headline: Column, value: Column, extra: Column,
+            kind: Column | None = None, note: Column | None = None) -> Column:
+        default_kind, title = INSIGHT_TITLES[ord_ - 1]
+        return F.when(there, F.struct(
+            F.lit(ord_).alias("ord"), (F.lit(default_kind) if kind is None else kind).alias("kind"),
+            F.lit(title).alias("title"), headline.cast("string").alias("headline"),
+            value.cast("double").alias("value"), extra.cast("double").alias("extra"),
+            (F.lit(None) if note is None else note).cast("string").alias("note")))
+
+    out = F.array(
+        row(1, F.col("best").isNotNull(), F.col("best.key"), F.col("best.value"),
+            F.col("best.flights")),
+        row(2, F.col("eligible") > 1, F.col("worst.key"), F.col("worst.value"),
+            F.col("worst.flights")),
+        row(3, F.col("busiest").isNotNull(), F.col("busiest.key"), F.col("busiest.value"),
+            F.col("busiest.flights")),
+        row(4, F.col("peak").isNotNull(), month_name(-F.col("peak.m")), F.col("peak.mean"),
+            F.round(delta, DERIVED_DIGITS)),
+        row(5, F.col("total") > 0, F.element_at(names, 1 - F.col("cause.i")),
+            F.round(F.col("cause.value") / F.col("total") * 100, DERIVED_DIGITS),
+            F.col("cause.value")),
+        row(6, F.col("rate").isNotNull(), F.lit(None), pct(num("rate")), F.col("rate"),
+            kind=grade, note=cancellation_note(grade)))
+    return parts.select(F.inline(F.array_compact(out)))

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from skyroll import registry_input as rules
-from skyroll.oracle import AGGREGATES, FIXTURE, HOLIDAYS, ORACLE
+from skyroll.oracle import AGGREGATES, FIXTURE, HOLIDAYS, ORACLE, D, _q
+from skyroll.registry import PAGE_ITEMS
 from skyroll.schemas import source_specs
 
 _SOURCE = "CASE WHEN CAST(yr AS INTEGER) <= 2017 THEN '2015' ELSE '2018_2024' END"
@@ -52,10 +53,28 @@ SQL = {
     "landed_observed_totals": f"""WITH {FIXTURE} SELECT count(*) AS rows_in,
   count(*) FILTER (WHERE NOT ({_BAD})) AS rows_ok, count(*) FILTER (WHERE {_BAD}) AS rows_rejected,
   count(*) FILTER (WHERE airline IS NULL AND NOT ({_BAD})) AS null_airline_rows FROM fixture""",
+    "run_observed_profile": f"""WITH {FIXTURE} SELECT {_SOURCE} AS source, count(*) AS raw_rows,
+  count(*) FILTER (WHERE airline IS NULL) AS null_airline_rows FROM fixture GROUP BY ALL""",
     "redelivered_by_airline": ORACLE["by_airline"],
     "redelivered_versions": f"""WITH {FIXTURE} SELECT {_SOURCE} AS source,
   'delivery=' || yr AS delivery, CASE WHEN yr IN ({_YEARS}) THEN 2 ELSE 1 END AS version,
   count(*) AS rows FROM fixture GROUP BY ALL""",
+    "keyed_pages": f"""SELECT *, CAST((row_number() OVER (ORDER BY item_key) - 1) // {PAGE_ITEMS} AS INTEGER)
+  AS page FROM ({ORACLE['keyed_upsert']})""",
+    "keyed_repeated_keys": f"""WITH {FIXTURE}, m AS (SELECT AIRLINE, "YEAR", "MONTH", count(*) AS flights
+  FROM flights WHERE AIRLINE IS NOT NULL GROUP BY ALL)
+  SELECT AIRLINE AS item_key, * FROM m
+  QUALIFY row_number() OVER (PARTITION BY AIRLINE ORDER BY "YEAR" DESC, "MONTH" DESC) = 1""",
+    "uneven_rows_csv": """SELECT CAST(o_orderkey AS VARCHAR) AS "order",
+  CASE WHEN o_custkey % 3 = 0 THEN o_orderstatus END AS status,
+  CASE WHEN o_custkey % 4 = 0 THEN concat('said "', o_orderpriority, '",', chr(10), 'then left') END
+    AS "the note",
+  CASE WHEN o_custkey % 5 = 0 THEN concat('["a,b","', o_orderstatus, '"]') END AS tags,
+  CASE WHEN o_custkey % 7 = 0 THEN CAST(o_custkey > 100 AS VARCHAR) END AS large FROM orders""",
+    "decimal_nested": _q(f"""SELECT AIRLINE AS item_key, {D('carrier_delay')} AS first,
+  {D('weather_delay')} AS second, {D('arrival_delay')} AS arrival, {D('cancelled')} AS cancelled,
+  {D('departure_delay / 3')} AS third_of_departure FROM airlines_out WHERE AIRLINE IS NOT NULL"""),
+    "served_read_broken_store": _q("SELECT *, 'json-fallback' AS data_source FROM airlines_out"),
     "holiday_years_status": f"""WITH {HOLIDAYS}, {_FILES} SELECT "year", part, status,
   CASE WHEN status = 'ok' THEN n ELSE 0 END AS records,
   CASE WHEN status = 'ok' THEN good ELSE 0 END AS kept,

@@ -10,9 +10,10 @@ nothing.
 
 ``refresh`` compares the landed files (names, sizes, times: a listing, no content)
 with what was taken in, and scans only the deliveries that differ. Each refresh
-writes a folder of its own, contributions first and then the list of the deliveries
-it covers; that list's ``_SUCCESS`` commits both. A refresh that fails leaves
-nothing that readers see, and the next one does the same work again.
+writes a snapshot of its own, with the contributions and the list of the deliveries
+that it covers, and commits both at once. A refresh that fails leaves nothing that
+readers see, and the next one does the same work again; of two at the same time the
+second starts again from what the first took in.
 """
 
 from __future__ import annotations
@@ -29,14 +30,16 @@ from skyroll.operators.standardise import standardise, unify
 from skyroll.plans.dashboard import Outputs, outputs_from_grains
 from skyroll.schemas import source_specs
 from skyroll.session import checkpointed
-from skyroll.sinks.keyed import KeyedStore
-from skyroll.sources.headers import FILE, read_raw_groups
+from skyroll.sinks.snapshots import Snapshots
+from skyroll.sources.headers import FILE, REJECTED, read_raw_groups
 
 SOURCE_COL = "source"
 DELIVERY = "delivery"
 # The folder that a file lies in.
 FOLDER = r"([^/]+)/[^/]+$"
 ID = [SOURCE_COL, DELIVERY]
+# The two tables of a snapshot.
+LIST, GRAINS = "deliveries", "contributions"
 
 
 def landed_files(spark: SparkSession, landing: dict[str, str], pattern: str = FOLDER,
@@ -58,23 +61,19 @@ class Deliveries:
 
     def __init__(self, spark: SparkSession, root: str, pattern: str = FOLDER):
         self.spark, self.pattern = spark, pattern
-        # the versioned folders of a keyed table, used for two tables in step
-        self._lists = KeyedStore(spark, root, "deliveries")
-        self._grains = KeyedStore(spark, root, "contributions")
-
-    def _committed(self) -> list[int]:
-        return self._lists._versions()[1]
+        self.snapshots = Snapshots(spark, root)
 
     def known(self) -> DataFrame | None:
         """(source, delivery, stamp, version): the newest state of every delivery; a null
         stamp is one that is gone. One small row for each delivery and refresh."""
-        versions = self._committed()
-        if not versions:
+        lists = [self.spark.read.parquet(f"{folder}/{LIST}")
+                 for folder in self.snapshots.committed().values()]
+        if not lists:
             return None
-        rows = reduce(lambda a, b: a.unionByName(b), [
-            self.spark.read.parquet(self._lists.snapshot_path(v)) for v in versions])
-        return rows.groupBy(*ID).agg(F.max_by("stamp", "version").alias("stamp"),
-                                     F.max("version").alias("version"))
+        order = F.struct("version", "stamp")
+        return (reduce(lambda a, b: a.unionByName(b), lists).groupBy(*ID)
+                .agg(F.max_by(F.struct("stamp", "version"), order).alias("last"))
+                .select(*ID, "last.*"))
 
     def changes(self, landing: dict[str, str]) -> DataFrame:
         """(source, delivery, stamp) of what is new, different or gone."""
@@ -90,10 +89,19 @@ class Deliveries:
 
     def refresh(self, landing: dict[str, str]) -> int | None:
         """Take in what has changed; the version written, or None if nothing has."""
-        changed = checkpointed(self.changes(landing))
-        if changed.isEmpty():
-            return None
-        version = max([0, *self._lists._versions()[0], *self._grains._versions()[0]]) + 1
+        while True:
+            version = self.snapshots.next_version()
+            changed = checkpointed(self.changes(landing))
+            if changed.isEmpty():
+                return None
+            folder = self.snapshots.new_folder()
+            self._write(landing, changed, version, folder)
+            if self.snapshots.commit(folder, version):
+                return version
+            self.snapshots.discard(folder)
+
+    def _write(self, landing: dict[str, str], changed: DataFrame, version: int,
+               folder: str) -> None:
         files = (landed_files(self.spark, landing, self.pattern)
                  .join(changed.where(F.col("stamp").isNotNull()), ID, "left_semi")
                  .select(SOURCE_COL, "path").collect())       # names, as any scan lists them
@@ -103,23 +111,24 @@ class Deliveries:
             if not own:
                 continue
             raw = read_raw_groups(self.spark, own, spec, rejects=True)
-            parts.append(standardise(raw.where(F.col("_rejected_line").isNull()), spec, [FILE])
+            parts.append(standardise(raw.where(F.col(REJECTED).isNull()), spec, [FILE])
                          .withColumn(SOURCE_COL, F.lit(spec.label))
                          .withColumn(DELIVERY, F.regexp_extract(FILE, self.pattern, 1)))
         if parts:
-            additive_grain_table(unify(parts), by=ID).write.mode("errorifexists").parquet(
-                self._grains.snapshot_path(version))
+            additive_grain_table(unify(parts), by=ID).write.parquet(f"{folder}/{GRAINS}")
         (changed.withColumn("version", F.lit(version)).coalesce(1)
-         .write.mode("errorifexists").parquet(self._lists.snapshot_path(version)))
-        return version
+         .write.parquet(f"{folder}/{LIST}"))
 
     def contributions(self) -> DataFrame | None:
         """The newest contribution of every delivery that is there."""
-        known, written = self.known(), set(self._grains._versions()[1])
+        known = self.known()
         if known is None:
             return None
-        parts = [self.spark.read.parquet(self._grains.snapshot_path(v))
-                 .withColumn("version", F.lit(v)) for v in self._committed() if v in written]
+        newest = [r.version for r in known.where(F.col("stamp").isNotNull())
+                  .select("version").distinct().collect()]
+        committed = self.snapshots.committed()
+        parts = [self.spark.read.parquet(f"{committed[v]}/{GRAINS}").withColumn("version", F.lit(v))
+                 for v in sorted(newest)]
         if not parts:
             return None
         rows = reduce(lambda a, b: a.unionByName(b), parts)

@@ -10,6 +10,9 @@ Plan, sized for a fact of many TB:
 3. that small grain table is written to the shared checkpoint folder and
    read back, which cuts the lineage: the outputs, checks and sinks never
    re-scan the raw files, and a lost executor never forces a re-scan;
+   the rows of each source are also observed as that job reads them
+   (``RunResult.observed``): a cheap check. A map task that runs again after a
+   lost executor is observed twice, so the reported profile comes from the grains;
 4. each output is written as JSON (replacing the folder) and upserted into
    the keyed store as a new committed snapshot.
 
@@ -23,7 +26,7 @@ import logging
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from skyroll.operators.aggregates import grain_table
@@ -47,15 +50,24 @@ class RunResult:
     null_airline: DataFrame
     totals: DataFrame
     grains_path: str
+    observed: dict[str, dict[str, int]]
     store_versions: dict[str, int] = field(default_factory=dict)
     store_errors: dict[str, str] = field(default_factory=dict)
 
 
 def labelled_flights(raw_by_label: dict[str, DataFrame],
-                     specs: list[SourceSpec] | None = None) -> DataFrame:
+                     specs: list[SourceSpec] | None = None,
+                     observations: dict[str, Observation] | None = None) -> DataFrame:
+    """The fact with its source labels. ``observations`` (by label) count rows and rows
+    without a carrier as they pass by, in whatever job reads the fact first."""
     by_label = {s.label: s for s in (specs or source_specs())}
-    parts = [standardise(df, by_label[label]).withColumn(SOURCE_COL, F.lit(label))
-             for label, df in raw_by_label.items()]
+    parts = []
+    for label, df in raw_by_label.items():
+        part = standardise(df, by_label[label])
+        if observations:
+            part = part.observe(observations[label], F.count(F.lit(1)).alias("raw_rows"),
+                                F.count_if(F.col("AIRLINE").isNull()).alias("null_airline_rows"))
+        parts.append(part.withColumn(SOURCE_COL, F.lit(label)))
     return unify(parts)
 
 
@@ -113,7 +125,9 @@ def run(spark: SparkSession, raw_by_label: dict[str, DataFrame], out_root: str,
     (after the JSON outputs are written); otherwise it is logged and kept in
     ``store_errors``."""
     columns = {label: len(df.columns) for label, df in raw_by_label.items()}
-    table, path = materialise_grains(spark, labelled_flights(raw_by_label))
+    seen = {label: Observation(f"source-{label}") for label in raw_by_label}
+    table, path = materialise_grains(spark, labelled_flights(raw_by_label, observations=seen))
+    observed = {label: dict(o.get) for label, o in seen.items()}
     outputs = outputs_from_grains(table)
 
     versions, errors = publish_outputs(spark, outputs.as_dict(), out_root, store_root, strict)
@@ -128,4 +142,4 @@ def run(spark: SparkSession, raw_by_label: dict[str, DataFrame], out_root: str,
         F.coalesce(F.sum(F.when((grain == "airline") & F.col("AIRLINE").isNull(), F.col("n"))),
                    F.lit(0).cast("bigint")).alias("null_airline_rows"))
     totals = run_totals(outputs.summary, outputs.airlines, outputs.airports, outputs.monthly)
-    return RunResult(outputs, profile, null_airline, totals, path, versions, errors)
+    return RunResult(outputs, profile, null_airline, totals, path, observed, versions, errors)

@@ -9,14 +9,16 @@ correctness check lives in ``skyroll.oracle``.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyroll.operators import aggregates as agg
 from skyroll.operators import checks, insights, rankings
+from skyroll.operators.setops import read_row_texts, union_row_headers
 from skyroll.operators.standardise import flights_from_sources, standardise
-from skyroll.plans.dashboard import DIRECT, outputs_from_grains, served_from_flights, served_output
+from skyroll.plans.dashboard import DIRECT, outputs_from_grains, served_output
 from skyroll.plans.replay import output_schemas, replay
 from skyroll.plans.run import run
 from skyroll.registry_input import QUERIES as INPUT_QUERIES
@@ -27,6 +29,7 @@ from skyroll.sinks.json_out import write_json_output
 from skyroll.sinks.keyed import KeyedStore, keyed_items, merge_items
 from skyroll.sources import holidays as hol
 from skyroll.sources.fixture import fixture_sources
+from skyroll.sources.headers import headers, list_files
 from skyroll.sources.raw import read_sources
 from skyroll.sources.json_lines import read_json_output
 from skyroll.sources.served import load_dataset
@@ -35,6 +38,8 @@ from skyroll.streaming.incremental import start_incremental_run
 # Eligibility floor for the best / worst carrier insight at the test scale:
 # carriers have 3,328-3,601 flights at sf0.01, so both sides occur.
 MIN_FLIGHTS = 3400
+# Items of a page; the airport store has 50 or more.
+PAGE_ITEMS = 8
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -51,10 +56,6 @@ def flights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flights_from_sources(raw_sources(spark, sf_dir))
 
 
-def served(spark: SparkSession, sf_dir: str):
-    return served_from_flights(flights(spark, sf_dir))
-
-
 def one(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return served_output(flights(spark, sf_dir), name)
 
@@ -99,6 +100,52 @@ def keyed_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return store.read()
 
 
+def keyed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All items of the store, read page by page."""
+    old, new = _upsert_batches(spark, sf_dir)
+    store = KeyedStore(spark, scratch_path(spark, "store"), "flight_airports")
+    store.upsert(old)
+    store.upsert(new)
+    pages = [page.withColumn("page", F.lit(k)) for k, page in enumerate(store.pages(PAGE_ITEMS))]
+    return reduce(lambda a, b: a.unionByName(b), pages)
+
+
+def keyed_repeated_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One batch that writes every carrier month by month: the last write stays."""
+    monthly = (flights(spark, sf_dir).groupBy("AIRLINE", "YEAR", "MONTH")
+               .agg(F.count(F.lit(1)).alias("flights")).orderBy("YEAR", "MONTH"))
+    store = KeyedStore(spark, scratch_path(spark, "store"), "flight_last_month")
+    store.upsert(keyed_items(monthly, "AIRLINE"))
+    return store.read()
+
+
+def uneven_rows_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """JSON rows with differing keys to CSV and back, under the union of their keys;
+    texts hold quotes, commas and line ends, and one value is nested."""
+    cust = F.col("o_custkey")
+    rows = spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.to_json(F.struct(
+        F.col("o_orderkey").alias("order"),
+        F.when(cust % 3 == 0, F.col("o_orderstatus")).alias("status"),
+        F.when(cust % 4 == 0, F.concat(F.lit('said "'), F.col("o_orderpriority"),
+                                       F.lit('",\nthen left'))).alias("the note"),
+        F.when(cust % 5 == 0, F.array(F.lit("a,b"), F.col("o_orderstatus"))).alias("tags"),
+        F.when(cust % 7 == 0, F.col("o_custkey") > 100).alias("large"))).alias("value"))
+    root = scratch_path(spark, "uneven")
+    rows.write.text(f"{root}/json")
+    write_csv(union_row_headers(read_row_texts(spark, f"{root}/json")), f"{root}/csv",
+              single_file=False)
+    # every part has the header; one schema for all, read by name
+    names = ["order", "status", "the note", "tags", "large"]
+    return (spark.read.schema(", ".join(f"`{n}` string" for n in _csv_header(spark, f"{root}/csv")))
+            .option("header", "true").option("multiLine", "true").option("escape", '"')
+            .csv(f"{root}/csv").select(*[F.col(f"`{n}`") for n in names]))
+
+
+def _csv_header(spark: SparkSession, folder: str) -> list[str]:
+    (names,) = headers(spark, list_files(spark, folder))
+    return list(names)
+
+
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     airlines = agg.by_airline(flights(spark, sf_dir))
     folder = scratch_path(spark, "json") + "/airlines"
@@ -133,6 +180,29 @@ def served_read_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load_dataset(spark, store, f"{root}/json/airlines", result.outputs.airlines.schema)
 
 
+def served_read_broken_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The store's newest snapshot can't be read: the JSON output is served."""
+    root, result = _run_into_scratch(spark, sf_dir, with_store=True)
+    table = KEYED_OUTPUTS["airlines"][0]
+    store = KeyedStore(spark, f"{root}/store", table)
+    spark.range(3).selectExpr("'no parquet' AS value").write.text(broken := store.snapshots.new_folder())
+    store.snapshots.commit(broken, store.snapshots.next_version())
+    return load_dataset(spark, store, f"{root}/json/airlines", result.outputs.airlines.schema)
+
+
+def decimal_nested(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means per carrier inside an array, a struct and a map, as the store keeps them."""
+    items = agg.by_airline(flights(spark, sf_dir)).select(
+        "AIRLINE", F.array("carrier_delay", "weather_delay").alias("causes"),
+        F.struct("arrival_delay", F.struct("cancelled").alias("rates")).alias("nested"),
+        F.create_map(F.lit("dep"), F.col("departure_delay") / 3).alias("by_name"))
+    kept = keyed_items(items, "AIRLINE")
+    return kept.select("item_key", F.col("causes")[0].alias("first"), F.col("causes")[1].alias("second"),
+                       F.col("nested.arrival_delay").alias("arrival"),
+                       F.col("nested.rates.cancelled").alias("cancelled"),
+                       F.col("by_name")["dep"].alias("third_of_departure"))
+
+
 def run_source_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _run_into_scratch(spark, sf_dir, with_store=False)[1].source_profile
 
@@ -256,8 +326,8 @@ QUERIES: dict[str, Query] = {
     "dominant_cause": lambda s, d: insights.dominant_cause(one(s, d, "delaySummary")),
     "cancellation_grade": lambda s, d: insights.cancellation_health(one(s, d, "delaySummary")),
     "kpi_rows": lambda s, d: insights.kpi_rows(one(s, d, "delaySummary")),
-    "insights": lambda s, d: (lambda v: insights.insights(v.airlines, v.airports, v.monthly,
-                                                          v.summary, MIN_FLIGHTS))(served(s, d)),
+    "insights": lambda s, d: insights.insights_from_grains(agg.grain_table(flights(s, d)),
+                                                           MIN_FLIGHTS),
     # step 5: keyed items, upsert, sinks and served reads
     "keyed_items_airlines": _keyed("airlines"),
     "keyed_items_airports": _keyed("airports"),
@@ -266,6 +336,11 @@ QUERIES: dict[str, Query] = {
     "keyed_upsert": keyed_upsert,
     "keyed_store_roundtrip": keyed_store_roundtrip,
     "keyed_upsert_new_column": keyed_upsert_new_column,
+    "keyed_pages": keyed_pages,
+    "keyed_repeated_keys": keyed_repeated_keys,
+    "uneven_rows_csv": uneven_rows_csv,
+    "decimal_nested": decimal_nested,
+    "served_read_broken_store": served_read_broken_store,
     "json_roundtrip": json_roundtrip,
     "csv_roundtrip": csv_roundtrip,
     "served_read": served_read,

@@ -15,6 +15,7 @@ from skyroll.operators.standardise import flights_from_sources
 from skyroll.plans.deliveries import ID, Deliveries
 from skyroll.plans.holidays import load_holidays
 from skyroll.plans.landing import land
+from skyroll.plans.run import run
 from skyroll.schemas import source_specs
 from skyroll.session import scratch_path
 from skyroll.sinks.keyed import KEY, KeyedStore
@@ -118,6 +119,15 @@ def landed_observed_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
                                  ", ".join(f"{n} long" for n in names))
 
 
+def run_observed_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and carrier-less rows of each source, observed while the run's one scan is
+    read; nothing is counted in a job of its own."""
+    done = run(spark, fixture_sources(spark, sf_dir), scratch_path(spark, "run"))
+    return spark.createDataFrame(
+        [(label, o["raw_rows"], o["null_airline_rows"]) for label, o in done.observed.items()],
+        "source string, raw_rows long, null_airline_rows long")
+
+
 def _redelivered(spark: SparkSession, sf_dir: str) -> Deliveries:
     """All years land, two of them wrong (half their rows twice, departure delays five
     minutes up); then those two land again, corrected."""
@@ -194,6 +204,7 @@ QUERIES = {
     "rejected_lines": rejected_lines,
     "landed_by_airline": landed_by_airline,
     "landed_observed_totals": landed_observed_totals,
+    "run_observed_profile": run_observed_profile,
     "redelivered_by_airline": redelivered_by_airline,
     "redelivered_versions": redelivered_versions,
     "holiday_years_status": holiday_years_status,

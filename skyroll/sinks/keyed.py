@@ -1,24 +1,26 @@
 """Keyed store with upsert semantics (SNK2, SNK4, SRC5, PRJ5, PRJ6, FLT2).
 
-A keyed table is a folder of immutable parquet snapshots ``v=000001``,
-``v=000002``, ... under a shared root. An upsert reads the current snapshot,
-replaces the items whose key appears in the batch and keeps all others
-(items are never deleted, so e.g. an airport that left the top 50 stays),
-then writes the result as the next snapshot. The committer writes
-``_SUCCESS`` only when the whole job commits, and readers pick the newest
-snapshot that has it, so a failed or half-written run is invisible and a
-path is never overwritten while it is being read. Retried tasks after an
-executor loss simply rewrite their files inside the uncommitted snapshot.
+A keyed table is a series of immutable parquet snapshots. An upsert reads the
+current snapshot, replaces the items whose key appears in the batch and keeps all
+others (items are never deleted, so e.g. an airport that left the top 50 stays),
+then commits the result as the next snapshot. A failed or half-written run is
+invisible and a path is never overwritten while it is being read. Of two upserts
+at the same time the one that commits second merges again with the other's
+snapshot (``sinks.snapshots``). Retried tasks after an executor loss simply rewrite
+their files inside the uncommitted folder.
 
 The merge is a ``left_anti`` join on ``item_key`` plus a union, planned by
 Catalyst: keys are unique on both sides (the batch is deduplicated first),
 so there is no key skew, and AQE turns the join into a broadcast at run
 time only when the measured batch side is small.
+
+Snapshots are sorted by key over range partitions, so a page of keys is found by
+the statistics of files and row groups without reading the rest.
 """
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,9 +29,11 @@ from skyroll.functions.decimals import decimalise_columns
 from skyroll.functions.keys import key_for
 from skyroll.operators.checks import drop_null_keys
 from skyroll.operators.setops import dedup_last
+from skyroll.session import checkpointed
+from skyroll.sinks.snapshots import Snapshots
 
 KEY = "item_key"
-_VERSION = re.compile(r"^v=(\d+)$")
+PAGE = 1000
 
 
 def keyed_items(df: DataFrame, key_rule: str) -> DataFrame:
@@ -39,64 +43,72 @@ def keyed_items(df: DataFrame, key_rule: str) -> DataFrame:
     return drop_null_keys(items, KEY)
 
 
+_SEEN = "_seen_at"
+
+
 def merge_items(current: DataFrame | None, batch: DataFrame, ordinal: str | None = None) -> DataFrame:
-    """Upsert ``batch`` into ``current``: last write wins per key (SET3)."""
+    """Upsert ``batch`` into ``current``: last write wins per key (SET3). Without an
+    ``ordinal`` column the batch's own row order says which write of a key is last."""
     batch = drop_null_keys(batch, KEY)
-    if ordinal is not None:
-        batch = dedup_last(batch, KEY, ordinal).drop(ordinal)
+    if ordinal is None:
+        batch, ordinal = batch.withColumn(_SEEN, F.monotonically_increasing_id()), _SEEN
+    batch = dedup_last(batch, KEY, ordinal).drop(ordinal)
     if current is None:
         return batch
     kept = current.join(batch.select(KEY), on=KEY, how="left_anti")
     return kept.unionByName(batch, allowMissingColumns=True)
 
 
-def _fs(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p, jvm
-
-
 class KeyedStore:
     """One keyed table stored as committed parquet snapshots."""
 
     def __init__(self, spark: SparkSession, root: str, table: str):
         self.spark = spark
         self.path = f"{root.rstrip('/')}/{table}"
-
-    def _versions(self) -> tuple[list[int], list[int]]:
-        fs, p, jvm = _fs(self.spark, self.path)
-        if not fs.exists(p):
-            return [], []
-        every, committed = [], []
-        for status in fs.listStatus(p):
-            m = _VERSION.match(status.getPath().getName())
-            if not m or not status.isDirectory():
-                continue
-            v = int(m.group(1))
-            every.append(v)
-            if fs.exists(jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")):
-                committed.append(v)
-        return sorted(every), sorted(committed)
+        self.snapshots = Snapshots(spark, self.path)
 
     def current_version(self) -> int | None:
-        committed = self._versions()[1]
-        return committed[-1] if committed else None
-
-    def snapshot_path(self, version: int) -> str:
-        return f"{self.path}/v={version:06d}"
+        return max(self.snapshots.committed(), default=None)
 
     def read(self) -> DataFrame | None:
         """Full scan of the current snapshot (SRC5); None when nothing is committed."""
-        v = self.current_version()
-        return None if v is None else self.spark.read.parquet(self.snapshot_path(v))
+        committed = self.snapshots.committed()
+        return self.spark.read.parquet(committed[max(committed)]) if committed else None
+
+    def page(self, after: str | None = None, size: int = PAGE) -> DataFrame | None:
+        """The next ``size`` items after key ``after`` in key order (SRC5). The bound is
+        a pushed filter, and the cut a bounded heap per task."""
+        items = self.read()
+        if items is None:
+            return None
+        if after is not None:
+            items = items.where(F.col(KEY) > after)
+        return items.orderBy(KEY).limit(size)
+
+    def pages(self, size: int = PAGE) -> Iterator[DataFrame]:
+        """All items of one snapshot, page by page; only each page's last key comes to
+        the driver. Upserts meanwhile go to later snapshots and are not seen."""
+        items, after = self.read(), None
+        while items is not None:
+            rest = items if after is None else items.where(F.col(KEY) > after)
+            page = checkpointed(rest.orderBy(KEY).limit(size))
+            after = page.agg(F.max(KEY)).first()[0]
+            if after is None:
+                return
+            yield page
 
     def upsert(self, batch: DataFrame, ordinal: str | None = None) -> int:
-        """Merge ``batch`` into the store and commit it as a new snapshot."""
-        merged = merge_items(self.read(), batch, ordinal)
-        every = self._versions()[0]
-        version = (every[-1] if every else 0) + 1
-        merged.write.mode("errorifexists").parquet(self.snapshot_path(version))
-        return version
+        """Merge ``batch`` into the store and commit it as a new snapshot; if another
+        upsert commits meanwhile, merge again with what it committed."""
+        while True:
+            version = self.snapshots.next_version()
+            merged = merge_items(self.read(), batch, ordinal)
+            folder = self.snapshots.new_folder()
+            (merged.repartitionByRange(F.col(KEY)).sortWithinPartitions(KEY)
+             .write.mode("errorifexists").parquet(folder))
+            if self.snapshots.commit(folder, version):
+                return version
+            self.snapshots.discard(folder)
 
 
 def written_count(batch: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ The emptiness tests are ``isEmpty()`` (a LIMIT 1 job), never a count.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -23,11 +24,14 @@ class DatasetNotReady(LookupError):
 
 
 def _json_rows(spark: SparkSession, folder: str, schema: T.StructType) -> DataFrame | None:
+    """None when there is no folder or it has no rows; broken JSON is an error."""
     try:
         df = read_json_output(spark, folder, schema)
-        return None if df.isEmpty() else df
-    except Exception:  # noqa: BLE001 - a missing folder means "no rows"
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
+    return None if df.isEmpty() else df
 
 
 def load_dataset(spark: SparkSession, store: KeyedStore, json_folder: str,

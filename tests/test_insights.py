@@ -97,3 +97,24 @@ def test_readiness_gate(spark):
     got = {r.output: (r.ready, r.all_ready)
            for r in readiness({"airlines": a, "airports": empty}).collect()}
     assert got == {"airlines": (True, False), "airports": (False, False)}
+
+
+def test_one_pass_insights_equal_the_parts(spark):
+    from skyroll.operators.aggregates import grain_table
+    from skyroll.operators.insights import insights, insights_from_grains
+    from skyroll.plans.dashboard import served_from_flights
+    from skyroll.registry import flights
+    from support import SF_SMALL, rows
+
+    fact = flights(spark, SF_SMALL).cache()
+    table = grain_table(fact)
+    v = served_from_flights(fact, materialise=False)
+    for least in (0, 340, 10**9):
+        want = insights(v.airlines, v.airports, v.monthly, v.summary, least)
+        got = insights_from_grains(table, least)
+        assert got.columns == want.columns and rows(got) == rows(want)
+    none = insights_from_grains(grain_table(fact.limit(0)), 0)
+    assert none.count() == 0
+    plan = insights_from_grains(table, 0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Expand") == 1
+    fact.unpersist()

@@ -1,11 +1,14 @@
 import json
 import os
+from concurrent.futures import ThreadPoolExecutor
 from decimal import Decimal
 
 from pyspark.sql import functions as F
 
 from skyroll.functions.decimals import decimalise_columns
-from skyroll.operators.setops import dedup_last, union_headers
+from skyroll.operators.setops import (
+    dedup_last, read_row_texts, union_headers, union_row_headers,
+)
 from skyroll.sinks.csv_out import write_csv
 from skyroll.sinks.json_out import write_json_output
 from skyroll.sinks.keyed import KeyedStore, keyed_items, merge_items
@@ -69,13 +72,79 @@ def test_store_snapshots_commit_and_ignore_partial(spark, tmp_dir):
     v2 = store.upsert(spark.createDataFrame([("A", 2), ("B", 2)], "item_key string, v int"))
     assert (v1, v2) == (1, 2) and store.current_version() == 2
     # a half-written snapshot (no _SUCCESS) is invisible to readers
-    os.makedirs(store.snapshot_path(3))
+    os.makedirs(store.snapshots.marker(3))
     assert store.current_version() == 2
     assert rows(store.read()) == [("A", 2), ("B", 2)]
     v4 = store.upsert(spark.createDataFrame([("C", 3)], "item_key string, v int"))
     assert v4 == 4 and rows(store.read()) == [("A", 2), ("B", 2), ("C", 3)]
 
 
+def test_repeated_keys_in_a_batch_keep_the_last_row(spark, tmp_dir):
+    batch = spark.createDataFrame([("A", 3), ("B", 1), ("A", 1), ("A", 2)], "item_key string, v int")
+    store = KeyedStore(spark, tmp_dir, "t")
+    store.upsert(batch.coalesce(1))
+    assert rows(store.read()) == [("A", 2), ("B", 1)]
+
+
+def test_dedup_last_null_and_equal_ordinals(spark):
+    df = spark.createDataFrame([("A", None, 1, [1]), ("A", 2, 5, [2]), ("A", 2, 7, [0]),
+                                ("B", None, 4, [1]), ("B", None, 3, [9])],
+                               "k string, ord int, v int, a array<int>")
+    for part in (df, df.repartition(5), df.orderBy("v")):
+        got = sorted(dedup_last(part, "k", "ord").collect())
+        assert [(r.k, r.ord, r.v) for r in got] == [("A", 2, 7), ("B", None, 4)]
+
+
+def test_two_upserts_at_once_lose_nothing(spark, tmp_dir):
+    def write(k):
+        batch = spark.createDataFrame([(f"own{k}", k), ("shared", k)], "item_key string, v int")
+        return KeyedStore(spark, tmp_dir, "t").upsert(batch)
+
+    with ThreadPoolExecutor(4) as pool:
+        versions = list(pool.map(write, range(4)))
+    assert sorted(versions) == [1, 2, 3, 4]
+    got = dict(rows(KeyedStore(spark, tmp_dir, "t").read()))
+    assert {k: v for k, v in got.items() if k != "shared"} == {f"own{k}": k for k in range(4)}
+    assert got["shared"] == versions.index(4)
+
+
+def test_a_lost_claim_leaves_no_marker_behind(spark, tmp_dir):
+    store = KeyedStore(spark, tmp_dir, "t")
+    store.upsert(spark.createDataFrame([("A", 1)], "item_key string, v int"))
+    folder = store.snapshots.new_folder()
+    spark.createDataFrame([("B", 1)], "item_key string, v int").write.parquet(folder)
+    assert not store.snapshots.commit(folder, 1)
+    store.snapshots.discard(folder)
+    assert sorted(n for n in os.listdir(store.path) if not n.startswith("data-")) == ["v=000001"]
+    assert rows(store.read()) == [("A", 1)]
+
+
+def test_pages_cover_one_snapshot_and_push_their_bound(spark, tmp_dir):
+    store = KeyedStore(spark, tmp_dir, "t")
+    assert store.page() is None and list(store.pages(3)) == []
+    store.upsert(spark.createDataFrame([(f"k{i:02d}", i) for i in range(10)], "item_key string, v int"))
+    seen = []
+    for page in store.pages(4):
+        seen.append([r.v for r in page.orderBy("item_key").collect()])
+        store.upsert(spark.createDataFrame([(f"z{len(seen)}", 99)], "item_key string, v int"))
+    assert seen == [[0, 1, 2, 3], [4, 5, 6, 7], [8, 9]]
+    plan = store.page("k05", 2)._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(item_key,k05)" in plan and "TakeOrderedAndProject" in plan
+    assert [r.item_key for r in store.page("k05", 2).collect()] == ["k06", "k07"]
+
+
+def test_uneven_rows_keep_their_keys_in_order(spark, tmp_dir):
+    put = ['{"b": 1, "a": "x,y"}', "", '{"c": {"d": [1, "q"]}, "a": null}', "{}",
+           '{"z e": "say \\"hi\\"\\nbye", "b": true}']
+    with open(f"{tmp_dir}/rows.txt", "w") as f:
+        f.write("\n".join(put))
+    out = union_row_headers(read_row_texts(spark, f"{tmp_dir}/rows.txt"))
+    assert out.columns == ["b", "a", "c", "z e"]
+    assert sorted(map(tuple, out.collect()), key=str) == sorted([
+        ("1", "x,y", None, None), (None, None, '{"d":[1,"q"]}', None), (None, None, None, None),
+        ("true", None, None, 'say "hi"\nbye')], key=str)
+
+
 def test_json_output_single_file_and_null_fields(spark, tmp_dir):
     df = spark.createDataFrame([("AA", 1.5), (None, None)], "AIRLINE string, x double")
     write_json_output(df, f"{tmp_dir}/out")

@@ -4,6 +4,7 @@ holiday files that can't be read."""
 import gzip
 import json
 import os
+from concurrent.futures import ThreadPoolExecutor
 
 import pytest
 from pyspark.sql import functions as F
@@ -153,11 +154,23 @@ def test_a_refresh_that_fails_is_not_seen_and_done_again(spark, tmp_path):
     d = Deliveries(spark, str(tmp_path / "state"))
     d.refresh(landing)
     put(land_at / "jan" / "a.csv", ",".join(COLS), line(), line())
-    # contributions written, the list that commits them not
-    grains = d._grains.snapshot_path(2)
-    spark.read.parquet(d._grains.snapshot_path(1)).write.parquet(grains)
+    # all is written and the commit fails
+    d.snapshots.commit = lambda folder, version: 1 / 0
+    with pytest.raises(ZeroDivisionError):
+        d.refresh(landing)
+    d = Deliveries(spark, str(tmp_path / "state"))
     assert [n for _, n, _ in state(d)] == [1]
-    assert d.refresh(landing) == 3 and [n for _, n, _ in state(d)] == [2]
+    assert d.refresh(landing) == 2 and [n for _, n, _ in state(d)] == [2]
+
+
+def test_two_refreshes_at_once_count_once(spark, tmp_path):
+    put(tmp_path / "in" / "jan" / "a.csv", ",".join(COLS), line())
+    landing = {"2015": str(tmp_path / "in")}
+    all_ = [Deliveries(spark, str(tmp_path / "state")) for _ in range(3)]
+    with ThreadPoolExecutor(3) as pool:
+        done = list(pool.map(lambda d: d.refresh(landing), all_))
+    assert sorted(done, key=str) == [1, None, None]
+    assert [n for _, n, _ in state(all_[0])] == [1]
 
 
 def test_deliveries_equal_the_batch_run(spark, tmp_path):
