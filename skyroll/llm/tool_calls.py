@@ -3,8 +3,8 @@
 Calls and results meet in a hash join by conversation and call id, keys that
 no two calls share, so a conversation that holds a large part of all rows is
 spread like any other. Dependencies between calls (the ``after`` argument) are
-ordered level by level: a call is placed once what it waits for is placed;
-calls in a cycle never are. Arguments are parsed once as variants and checked
+ordered by pointer doubling: a call's level is its distance from one that waits
+for nothing; calls in a cycle have none. Arguments are parsed once as variants and checked
 against the tools' schemas by expressions built from them. The canonical form
 is one JSON object per call, keys sorted, no blanks.
 
@@ -19,8 +19,6 @@ rows; extra columns are ignored.
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,31 +84,37 @@ def _first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
 
 
 def topological_levels(calls: DataFrame, edges: DataFrame) -> DataFrame:
-    """(conv_id, call_id, level): 0 without dependencies, else one more than the
-    highest level waited for; calls that wait in a cycle have no row.
+    """(conv_id, call_id, level): 0 without a dependency, else one more than the call
+    waited for; calls that wait in a cycle, or for one, have no row.
 
-    A round places the calls whose last dependency was placed in the round
-    before, so the number of rounds is the length of the longest chain.
+    ``edges`` has at most one row (conv_id, call_id, dep) for each call. Calls point to
+    what they wait for, and each round doubles the reach of the pointers, so there are
+    as many rounds as the longest chain has binary digits. A call has arrived when its
+    pointer is at one that waits for nothing; a round in which none arrives leaves only
+    those that wait for a cycle. Each round is a table of its own, and only the last
+    is part of the result's plan.
     """
     keys = ["conv_id", "call_id"]
-    waiting = edges.groupBy(*keys).agg(F.count(F.lit(1)).alias("open"))
-    placed = calls.join(waiting, keys, "left_anti").select(*keys, F.lit(0).alias("level"))
-    done, frontier, level = [placed], placed, 0
-    waiting = saved(waiting, "waiting-0")
-    while not waiting.isEmpty():
-        level += 1
-        before = frontier.select("conv_id", F.col("call_id").alias("dep"))
-        freed = (edges.join(before.hint("shuffle_hash"), ["conv_id", "dep"])
-                 .groupBy(*keys).agg(F.count(F.lit(1)).alias("freed")))
-        step = saved(waiting.join(freed, keys, "left").select(
-            *keys, (F.col("open") - F.coalesce("freed", F.lit(0))).alias("open"),
-            F.col("freed").isNotNull().alias("moved")), f"waiting-{level}")
-        frontier = step.where(F.col("open") == 0).select(*keys, F.lit(level).alias("level"))
-        if step.where("moved").isEmpty():
-            break  # only cycles are left
-        done.append(frontier)
-        waiting = step.where(F.col("open") > 0).select(*keys, "open")
-    return reduce(DataFrame.unionByName, done)
+    jumps = saved(edges.select(*keys, F.col("dep").alias("at"), F.lit(1).cast("long").alias("level"),
+                               F.lit(False).alias("arrived")), "call-jumps-0")
+    open_before, turn = -1, 0
+    while True:
+        turn += 1
+        onward = jumps.select("conv_id", F.col("call_id").alias("at"), F.col("at").alias("next"),
+                              F.col("level").alias("more"), F.col("arrived").alias("ahead"))
+        step = jumps.where(~F.col("arrived")).join(
+            onward.hint("shuffle_hash"), ["conv_id", "at"], "left").select(
+            *keys, F.coalesce("next", "at").alias("at"),
+            (F.col("level") + F.coalesce("more", F.lit(0))).alias("level"),
+            F.coalesce("ahead", F.lit(True)).alias("arrived"))
+        jumps = saved(jumps.where("arrived").unionByName(step), f"call-jumps-{turn}")
+        still_open = jumps.where(~F.col("arrived")).count()
+        if still_open in (0, open_before):
+            break
+        open_before = still_open
+    first = calls.join(edges.select(*keys), keys, "left_anti").select(
+        *keys, F.lit(0).cast("long").alias("level"))
+    return first.unionByName(jumps.where("arrived").select(*keys, "level"))
 
 
 def link_tool_calls(calls: DataFrame, results: DataFrame, tools: dict = TOOLS) -> DataFrame:
