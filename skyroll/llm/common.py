@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +25,21 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def done_with(spark: SparkSession, *tables: DataFrame) -> None:
+    """Give back the disk of ``saved`` tables whose last reader has run, and of the
+    shuffles of finished jobs: Spark removes those once its driver has collected the
+    plans that made them, which it would otherwise do every half hour."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    for table in tables:
+        at = jvm.org.apache.hadoop.fs.Path(table.saved_at)
+        at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+    gc.collect()
+    jvm.System.gc()
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

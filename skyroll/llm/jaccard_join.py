@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyroll.llm.common import attach, documents, saved, small_batches
+from skyroll.llm.common import attach, documents, done_with, saved, small_batches
 from skyroll.llm.components import components
 
 SHINGLE = 5
@@ -49,6 +49,7 @@ SKETCH_BITS = 20         # counters of the frequency sketch (one byte each when
 COMMON = 16              # repeats from which a counter orders its tokens last
 SALT_FROM = 9            # tokens of 2**10 rows and more are dealt over parts of about 2**9
 STAR_LEADERS = 2         # leaders a set is compared with when groups are formed
+STAR_SHARE = 8           # ... where it shares one in so many tokens of its prefix
 SIZE_BANDS = 16          # bands of set sizes in the matrix, per factor of e
 HEAD_ROUNDS = 1          # rounds in which groups that link by a head are merged
 BATCH_ROWS = 2000
@@ -247,8 +248,9 @@ def _fits(n_a, n_b):
     return ((DEN * F.least(n_a, n_b)) >= (NUM * F.greatest(n_a, n_b)))
 
 
-def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets link, by exact intersection."""
+def linked(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) whose sets link, saved: whole sets of the documents in
+    ``pairs`` only, built from their texts, and exact intersections."""
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -264,14 +266,20 @@ def linked(pairs: DataFrame, sets: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [b.column("a").filter(mask), b.column("b").filter(mask)], ["a", "b"])
 
-    return (pairs.select("a", "b")
-            .join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
-            .join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
-            .mapInArrow(test, "a long, b long"))
+    spark = docs.sparkSession
+    pairs = saved(pairs.select("a", "b"), f"{name}-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    sets = saved(full_sets(docs, wanted), f"{name}-sets")
+    done_with(spark)
+    out = saved(pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("set").alias("set_a")), "a")
+                .join(sets.select(F.col("doc_id").alias("b"), F.col("set").alias("set_b")), "b")
+                .mapInArrow(test, "a long, b long"), f"{name}-links")
+    done_with(spark, pairs, sets)
+    return out
 
 
 def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The whole sets of the documents that share a prefix token."""
+    """The whole sets of the ``wanted`` documents."""
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sets = [s.tobytes() for s in shingle_sets(b.column("text"))]
@@ -284,10 +292,14 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def star_pairs(shared: DataFrame) -> DataFrame:
-    """Each set with the leaders it shares most tokens with, and the leaders of
+    """Each set with the leaders it shares most tokens with, if these are a fair
+    part of the prefix (links on fewer are left to the groups), and the leaders of
     a salted token's parts with that token's first leader."""
+    prefix = F.least("n", "leader_n") * F.lit(DEN - NUM) / DEN
     votes = (shared.where((F.col("doc_id") != F.col("leader")) & _fits(F.col("n"), F.col("leader_n")))
-             .groupBy("doc_id", "leader").agg(F.count(F.lit(1)).alias("votes")))
+             .groupBy("doc_id", "leader", prefix.alias("prefix"))
+             .agg(F.count(F.lit(1)).alias("votes"))
+             .where(F.col("votes") * STAR_SHARE >= F.col("prefix")))
     rank = F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("votes"), "leader"))
     own = (votes.withColumn("rank", rank).where(F.col("rank") <= STAR_LEADERS)
            .select(F.col("doc_id").alias("a"), F.col("leader").alias("b")))
@@ -379,35 +391,37 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of ``docs``."""
     spark = docs.sparkSession
     small_batches(spark, BATCH_ROWS)
-    sets = saved(prefix_sets(docs, frequency_sketch(docs)), "prefix-sets")
-    real = sets.where((F.col("n") > 0) & F.col("doc_id").isNotNull())
-    classes = saved(real.groupBy("sig_a", "sig_b", "n")
+    prefixes = saved(prefix_sets(docs, frequency_sketch(docs)), "prefix-sets")
+    sets = saved(prefixes.select("doc_id", "n", "sig_a", "sig_b"), "set-signatures")
+    real = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    classes = saved(sets.where(real).groupBy("sig_a", "sig_b", "n")
                     .agg(F.min("doc_id").alias("speaker"), F.count(F.lit(1)).alias("members")),
                     "set-classes")
-    speakers = (real.join(classes.select(F.col("speaker").alias("doc_id"), "sig_a", "sig_b"),
-                          ["doc_id", "sig_a", "sig_b"])
+    speakers = (prefixes.where(real)
+                .join(classes.select(F.col("speaker").alias("doc_id"), "sig_a", "sig_b"),
+                      ["doc_id", "sig_a", "sig_b"])
                 .dropDuplicates(["doc_id", "sig_a", "sig_b"]))
     shared = saved(shared_tokens(speakers), "shared-tokens")
-    whole = saved(full_sets(docs, shared.select("doc_id").distinct()), "whole-sets")
-    near = saved(linked(star_pairs(shared), whole), "star-links")
+    done_with(spark, prefixes)
+    near = linked(star_pairs(shared), docs, "star")
     for turn in range(HEAD_ROUNDS + 1):
         rows = saved(grouped_rows(shared, components(near)), "grouped-tokens")
         asked = saved(qualifying_rows(rows), "qualifying-rows")
         opened = saved(qualifying_groups(asked, rows), "qualifying-groups")
         if turn < HEAD_ROUNDS:
             heads = opened.select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-            near = near.unionByName(saved(linked(heads, whole), "head-links"))
-    far = saved(linked(opened_pairs(rows, asked, opened), whole), "opened-links")
+            near = near.unionByName(linked(heads, docs, "head"))
+            done_with(spark, rows, asked, opened)
+    far = linked(opened_pairs(rows, asked, opened), docs, "opened")
+    done_with(spark, shared, rows, asked, opened)
     found = components(near.unionByName(far))
     of_class = (classes.join(found.select(F.col("node").alias("speaker"), "component"),
                              "speaker", "left")
                 .select("sig_a", "sig_b", "n", "members",
                         F.coalesce("component", "speaker").alias("component_id")))
-    narrow = sets.select("doc_id", "n", "sig_a", "sig_b")
-    linkable = (F.col("n") > 0) & F.col("doc_id").isNotNull()
-    alone = narrow.where(~linkable).select(
+    alone = sets.where(~real).select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    placed = attach(narrow.where(linkable), saved(of_class, "class-components"),
+    placed = attach(sets.where(real), saved(of_class, "class-components"),
                     ["sig_a", "sig_b", "n"], "members")
     return placed.select("doc_id", F.col("n").cast("long").alias("n_shingles"),
                          "component_id").unionByName(alone)
