@@ -15,7 +15,9 @@ which proves the unswitched path optimal (each foreign piece of a path costs at
 least one change).
 
 Learning uses a bounded sample (about ``FIT_PER_LANG`` documents of each
-language); prediction covers every whole text in one map-only pass.
+language) of every language there is, and each language brings its own most
+frequent n-grams into the model. Prediction covers every whole text in one
+map-only pass.
 
 Defined cases: a null text, or one without letters, is ``und`` with score 0;
 words in a script no learned language uses are neutral; a word in which the
@@ -36,20 +38,21 @@ from typing import NamedTuple
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skyroll.llm.common import documents, id_remainder, small_batches
+from skyroll.llm.common import documents, id_remainder, saved, small_batches
 
 FIT_PER_LANG = 1500      # expected training documents of each language
-MAX_GRAMS = 60000        # n-grams of the model, by count
+MODEL_GRAMS = 60_000     # n-grams of the model: each language has an equal share, by count,
+LANG_GRAMS = 1000        # ... and at least so many
 SWITCH_PENALTY = 12.0    # nats that a change of language costs
 WORD_CAP = 6.0           # nats that one word may count against a language
 SCRIPT_SHARE = 0.01      # of a language's words, for the script to be its own
 PIECE_LETTERS = 40       # letters of a word that are scored together
 DENSE_LETTERS = 6        # the same in scripts that write without blanks
 WORD_CACHE = 300_000     # scored words a Python worker keeps
-WORDS_AT_ONCE = 20_000   # words scored together
+WORDS_AT_ONCE = 20_000   # words scored together with up to four languages
 BATCH_ROWS = 2000
 
 # First and last code point of the scripts told apart.
@@ -72,6 +75,7 @@ def _one_script() -> re.Pattern:
 
 
 _RUN = _one_script()
+_LATIN = re.compile("[A-Za-z\u00c0-\u024f]+")
 
 
 def script_of(word: str) -> str:
@@ -95,8 +99,8 @@ class Piece(NamedTuple):
 
 def pieces(word: str) -> list[tuple[int, Piece]]:
     """(first letter, piece) of a word of letters; the pieces cover all of it."""
-    if len(word) <= PIECE_LETTERS and word.isascii():
-        return [(0, Piece(f"^{word}$", len(word) + 2, len(word), script_of(word)))] if word else []
+    if len(word) <= PIECE_LETTERS and (word.isascii() or _LATIN.fullmatch(word)):
+        return [(0, Piece(f"^{word}$", len(word) + 2, len(word), "latin"))] if word else []
     out = []
     for run in _RUN.finditer(word):
         size = DENSE_LETTERS if run.lastgroup in DENSE else PIECE_LETTERS
@@ -130,27 +134,75 @@ def token_pieces(token: str) -> list[tuple[int, str | Piece]]:
     return [(at[first] if first else 0, piece) for first, piece in found]
 
 
+# Odd multipliers of the n-grams' hashes (any odd 64-bit numbers do).
+_PLACE = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB,
+                   0xD6E8FEB86659FD93], dtype=np.uint64)
+_SIZE = np.uint64(0xA0761D6478BD642F)
+_MARKS = (ord("^"), ord("$"))
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+
+
+def _hash(codes: np.ndarray, size: int) -> np.ndarray:
+    """A 64-bit hash of the ``size`` letters from every place of ``codes`` on."""
+    n = len(codes) - size + 1
+    h = np.full(max(n, 0), size, dtype=np.uint64) * _SIZE
+    for k in range(size):
+        h += codes[k:k + n] * _PLACE[k]
+    h ^= h >> np.uint64(29)
+    return h * _PLACE[0]
+
+
 class LanguageModel:
     """Log-probabilities of n-grams by language, and the scripts of each."""
 
     def __init__(self, langs: list[str], counts: dict[str, list[int]],
                  scripts: dict[str, list[bool]], docs: list[int]):
         self.langs, self.scripts, self.docs = langs, scripts, docs
-        total = [sum(c[k] for c in counts.values()) + 0.5 * (len(counts) + 1)
-                 for k in range(len(langs))]
-        self.row = {g: i for i, g in enumerate(counts)}
-        self.logp = np.array([[math.log((c[k] + 0.5) / total[k]) for k in range(len(langs))]
-                              for c in counts.values()]).reshape(len(counts), len(langs))
+        k = len(langs)
+        table = np.array(list(counts.values()), dtype=np.float64).reshape(len(counts), k)
+        self.logp = np.log((table + 0.5) / (table.sum(axis=0) + 0.5 * (len(counts) + 1)))
+        hashes = np.array([_hash(_codes(g), len(g))[0] for g in counts], dtype=np.uint64)
+        order = np.argsort(hashes)
+        self.known, self.rows = hashes[order], order
+        if len(np.unique(hashes)) < len(hashes):
+            raise ValueError("two n-grams of the model have one hash")
         self._cache: dict[str, tuple] = {}
 
     def __getstate__(self):
         return self.__dict__ | {"_cache": {}}
 
+    def _found(self, parts: list[Piece]) -> tuple[np.ndarray, np.ndarray]:
+        """(part, row of the model) of every known n-gram, ordered by part."""
+        codes = _codes("".join(p.text for p in parts))
+        length = np.array([len(p.text) for p in parts], dtype=np.int64)
+        part = np.repeat(np.arange(len(parts)), length)
+        place = np.arange(len(codes)) - np.repeat(np.cumsum(length) - length, length)
+        begins = place < np.array([p.n for p in parts], dtype=np.int64)[part]
+        left = length[part] - place
+        who, which = [], []
+        for size in (1, 2, 3, 4):
+            n = max(len(codes) - size + 1, 0)
+            ok = begins[:n] & (left[:n] >= size)
+            if size == 1:
+                ok &= ~np.isin(codes, _MARKS)
+            at = np.flatnonzero(ok)
+            h = _hash(codes, size)[at]
+            row = np.minimum(np.searchsorted(self.known, h), len(self.known) - 1)
+            hit = self.known[row] == h
+            who.append(part[at[hit]])
+            which.append(self.rows[row[hit]])
+        who, which = np.concatenate(who), np.concatenate(which)
+        order = np.argsort(who, kind="stable")
+        return who[order], which[order]
+
     def score(self, tokens: list[str | Piece]) -> list[tuple[int, bytes]]:
         """(letters, float32 scores) of each word or piece: 0 for the best language,
         negative for others; all 0 for words of a script of no language."""
-        k, row = len(self.langs), self.row
-        letters, first, rows = [], [0], []
+        k = len(self.langs)
+        letters, parts, of = [], [], []
         allowed = np.ones((len(tokens), k), dtype=bool)
         for i, token in enumerate(tokens):
             if isinstance(token, str):
@@ -160,12 +212,14 @@ class LanguageModel:
             known = self.scripts.get(token.script) if token else None
             if known is not None and any(known):
                 allowed[i] = known
-                rows += [row[g] for g in grams(token) if g in row]
-            first.append(len(rows))
-        s, at = np.zeros((len(tokens), k)), np.array(first)
-        have = np.flatnonzero(at[1:] > at[:-1])
-        if len(have):
-            s[have] = np.add.reduceat(self.logp[rows], at[have], axis=0)
+                parts.append(token)
+                of.append(i)
+        s = np.zeros((len(tokens), k))
+        if parts and len(self.known):
+            who, which = self._found(parts)
+            if len(who):
+                first = np.flatnonzero(np.concatenate([[True], who[1:] != who[:-1]]))
+                s[np.array(of)[who[first]]] = np.add.reduceat(self.logp[which], first, axis=0)
         s = np.where(allowed, s, -np.inf)
         s = np.maximum(s - s.max(axis=1, keepdims=True), -WORD_CAP).astype(np.float32)
         return [(n, x.tobytes()) for n, x in zip(letters, s, strict=True)]
@@ -176,8 +230,9 @@ class LanguageModel:
             self._cache.clear()
         cache = self._cache
         new = [t for t in tokens if t not in cache]
-        for at in range(0, len(new), WORDS_AT_ONCE):
-            part = new[at:at + WORDS_AT_ONCE]
+        at_once = max(200, WORDS_AT_ONCE * 4 // max(4, len(self.langs)))
+        for at in range(0, len(new), at_once):
+            part = new[at:at + at_once]
             cache.update(zip(part, self.score(part), strict=True))
         out = [cache[t] for t in tokens]
         letters = np.array([g[0] for g in out], dtype=np.int64)
@@ -185,22 +240,35 @@ class LanguageModel:
         return letters, scores.reshape(len(out), len(self.langs))
 
 
-def viterbi(scores: np.ndarray, penalty: float) -> np.ndarray:
-    """Best state of each row of ``scores`` when a change of state costs ``penalty``."""
-    n, k = scores.shape
-    back = np.empty((n, k), dtype=np.uint8)
-    v, own = np.zeros(k), np.arange(k)
-    for t, s in enumerate(scores.astype(np.float64)):
-        top = int(v.argmax())
-        stay = v >= v[top] - penalty
-        back[t] = np.where(stay, own, top)
-        v = np.where(stay, v, v[top] - penalty) + s
-    path = np.empty(n, dtype=np.int64)
-    state = int(v.argmax())
-    for t in range(n - 1, -1, -1):
-        path[t] = state
-        state = int(back[t, state])
-    return path
+def viterbi(scores: np.ndarray, starts: np.ndarray, ends: np.ndarray,
+            penalty: float) -> list[np.ndarray]:
+    """Best states of the rows ``scores[start:end]`` of each text when a change of
+    state costs ``penalty``. Texts go forward together, one row of each at a time."""
+    order = np.argsort(starts - ends, kind="stable")          # longest first
+    begin, size = starts[order], (ends - starts)[order]
+    k, steps = scores.shape[1], int(size.max(initial=0))
+    live = np.searchsorted(-size, -np.arange(steps), side="left")   # texts with a row t
+    at = np.concatenate([[0], np.cumsum(live)])
+    stay, top = np.empty((at[-1], k), dtype=bool), np.empty(at[-1], dtype=np.int64)
+    v, own = np.zeros((len(order), k)), np.arange(len(order))
+    for t in range(steps):
+        n = live[t]
+        now = v[:n]
+        best = now.argmax(axis=1)
+        least = now[own[:n], best][:, None] - penalty
+        keep = now >= least
+        stay[at[t]:at[t + 1]], top[at[t]:at[t + 1]] = keep, best
+        np.maximum(now, least, out=now)
+        now += scores[begin[:n] + t]
+    state = v.argmax(axis=1)
+    flat = np.empty(at[-1], dtype=np.int64)
+    for t in range(steps - 1, -1, -1):
+        n = live[t]
+        flat[at[t]:at[t + 1]] = state[:n]
+        state[:n] = np.where(stay[at[t] + own[:n], state[:n]], state[:n], top[at[t]:at[t + 1]])
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    return [flat[at[:size[j]] + j] for j in place.tolist()]
 
 
 def _unswitched(scores: np.ndarray, first: np.ndarray, best: np.ndarray) -> np.ndarray:
@@ -266,6 +334,9 @@ def label_batch(texts: pa.Array, model: LanguageModel) -> list[tuple]:
     flat = np.flatnonzero(~sums.any(axis=1))
     best[flat] = int(np.argmax(model.docs))
     plain = _unswitched(scores, first, best)
+    mixed = np.flatnonzero(~plain & (total > 0))
+    paths = dict(zip(mixed.tolist(), viterbi(scores, first[:-1][mixed], first[1:][mixed],
+                                             SWITCH_PENALTY), strict=True))
     out = []
     for i in range(n):
         if not total[i]:
@@ -275,7 +346,7 @@ def label_batch(texts: pa.Array, model: LanguageModel) -> list[tuple]:
         if plain[i]:
             share, win, spans = 1.0, int(best[i]), [(0, int(word[b - 1]) + 1, model.langs[best[i]], 0)]
         else:
-            path = viterbi(scores[a:b], SWITCH_PENALTY)
+            path = paths[i]
             mass = np.bincount(path, weights=letters[a:b], minlength=k)
             win = int(mass.argmax())
             share = float(mass[win] / total[i])
@@ -299,16 +370,18 @@ def train_languages(docs: DataFrame) -> LanguageModel:
     about ``FIT_PER_LANG`` of each language; counts are summed in Spark."""
     small_batches(docs.sparkSession, BATCH_ROWS)
     docs = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
+    # one short row for each language, which the model has to have anyway
     sizes = {r["lang"]: r["n"] for r in
-             docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
-             .orderBy(F.desc("n"), "lang").limit(255).collect()}
+             docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
     if not langs:
         return LanguageModel([], {}, {}, [])
     million = 1_000_000
-    share = F.create_map(*[F.lit(x) for s in langs
-                           for x in (s, min(million, math.ceil(million * FIT_PER_LANG / sizes[s])))])
-    sample = (docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(million)) < share[F.col("lang")])
+    share = docs.sparkSession.createDataFrame(
+        [(x, min(million, math.ceil(million * FIT_PER_LANG / sizes[x]))) for x in langs],
+        "lang string, share int")
+    sample = (docs.select("lang", "text", F.pmod(F.xxhash64("doc_id"), F.lit(million)).alias("draw"))
+              .join(F.broadcast(share), "lang").where(F.col("draw") < F.col("share"))
               .select("lang", "text"))
 
     def count(batches):
@@ -329,25 +402,33 @@ def train_languages(docs: DataFrame) -> LanguageModel:
                  pa.array([r[1] for r in rows], pa.string()),
                  pa.array([r[2] for r in rows], pa.int64())], ["lang", "gram", "n"])
 
-    counted = (sample.mapInArrow(count, "lang string, gram string, n long")
-               .groupBy("gram").pivot("lang", langs).agg(F.sum("n")).na.fill(0))
-    whole = F.lit(0)
-    for s in langs:
-        whole = whole + F.col(f"`{s}`")
-    top = counted.orderBy(F.desc(whole), "gram").limit(MAX_GRAMS).collect()
-    table = {r["gram"]: [r[s] for s in langs] for r in top}
-    words = table.pop("words", [0] * len(langs))
-    scripts = {g[7:]: [n > SCRIPT_SHARE * max(1, w) for n, w in zip(c, words, strict=True)]
-               for g, c in table.items() if g.startswith("script ")}
-    table = {g: c for g, c in table.items() if not g.startswith("script ")}
-    return LanguageModel(langs, table, scripts, [sizes[s] for s in langs])
+    counted = saved(sample.mapInArrow(count, "lang string, gram string, n long")
+                    .groupBy("lang", "gram").agg(F.sum("n").alias("n")), "language-grams")
+    is_script = F.col("gram").startswith("script ") | (F.col("gram") == "words")
+    scripts: dict[str, list[bool]] = {}
+    about = {(r["lang"], r["gram"]): r["n"] for r in counted.where(is_script).collect()}
+    for name in {g for _, g in about if g != "words"}:
+        scripts[name[7:]] = [about.get((x, name), 0) > SCRIPT_SHARE * max(1, about.get((x, "words"), 0))
+                             for x in langs]
+    order = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
+    own = max(LANG_GRAMS, MODEL_GRAMS // len(langs))
+    grams_only = counted.where(~is_script)
+    chosen = (grams_only.withColumn("rank", F.row_number().over(order))
+              .where(F.col("rank") <= own).select("gram").distinct())
+    rows = grams_only.join(chosen, "gram").toPandas().sort_values(["gram", "lang"])
+    names = sorted(rows["gram"].unique())
+    table = np.zeros((len(names), len(langs)), dtype=np.int64)
+    table[np.searchsorted(np.array(names, dtype=object), rows["gram"].to_numpy()),
+          np.searchsorted(np.array(langs, dtype=object), rows["lang"].to_numpy())] = rows["n"]
+    return LanguageModel(langs, dict(zip(names, table.tolist(), strict=True)), scripts,
+                         [sizes[s] for s in langs])
 
 
 def label_languages(docs: DataFrame, model: LanguageModel) -> DataFrame:
     """doc_id, lang_pred, score and the labelled spans of every row."""
     spark = docs.sparkSession
     small_batches(spark, BATCH_ROWS)
-    shared = spark.sparkContext.broadcast(model)  # at most MAX_GRAMS entries
+    shared = spark.sparkContext.broadcast(model)  # bounded by the number of languages
 
     def label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
