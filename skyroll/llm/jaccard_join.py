@@ -53,6 +53,9 @@ STAR_SHARE = 8           # ... where it shares one in so many tokens of its pref
 SIZE_BANDS = 16          # bands of set sizes in the matrix, per factor of e
 HEAD_ROUNDS = 1          # rounds in which groups that link by a head are merged
 BATCH_ROWS = 2000
+PROFILE_BITS = 9         # a set's profile counts its tokens in 2**9 parts
+PROFILE_FULL = 255       # ... up to so many in each
+IDS_SENT = 1_000_000     # wanted documents whose ids are sent to the scan of the texts
 
 # Odd multipliers of the hashes (any odd 64-bit numbers do).
 _P = np.uint64(0x9E3779B97F4A7C15)
@@ -166,18 +169,39 @@ def frequency_sketch(docs: DataFrame) -> np.ndarray:
     return sketch
 
 
+def profile(tokens: np.ndarray) -> bytes:
+    """How many tokens fall into each part of the hash space. Two sets share at most
+    the sum of the smaller counts, which takes far fewer bytes than their tokens."""
+    part = (tokens >> np.uint64(16)) & np.uint64((1 << PROFILE_BITS) - 1)
+    count = np.bincount(part.astype(np.int64), minlength=1 << PROFILE_BITS)
+    return np.minimum(count, PROFILE_FULL).astype(np.uint8).tobytes()
+
+
+def _may_link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The pairs whose profiles and sizes allow a link (a full part allows any)."""
+    for b in batches:
+        x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), np.uint8).reshape(
+            -1, 1 << PROFILE_BITS) for c in ("profile_a", "profile_b"))
+        least = np.minimum(x, y)
+        both = b.column("n_a").to_numpy().astype(np.int64) + b.column("n_b").to_numpy()
+        keep = (((NUM + DEN) * least.sum(axis=1, dtype=np.int64) >= NUM * both)
+                | (least == PROFILE_FULL).any(axis=1))
+        yield b.select(["a", "b"]).filter(pa.array(keep))
+
+
 def prefix_sets(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
-    """doc_id, size and signature of each set, and its prefix in the common order."""
+    """doc_id, size, signature and profile of each set, and its prefix in the common order."""
     shared = docs.sparkSession.sparkContext.broadcast(sketch)
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = shared.value
         for b in batches:
-            n, sig_a, sig_b, tokens, bits = [], [], [], [], []
+            n, sig_a, sig_b, tokens, bits, profiles = [], [], [], [], [], []
             for s in shingle_sets(b.column("text")):
                 n.append(len(s))
                 sig_a.append(int(_mix(s ^ _P).sum(dtype=np.uint64).view(np.int64)))
                 sig_b.append(int(_mix(s + _P).sum(dtype=np.uint64).view(np.int64)))
+                profiles.append(profile(s))
                 take = len(s) - -(-NUM * len(s) // DEN) + 1 if len(s) else 0
                 rank = common[s >> np.uint64(64 - SKETCH_BITS)]
                 if rank.any():
@@ -190,11 +214,13 @@ def prefix_sets(docs: DataFrame, sketch: np.ndarray) -> DataFrame:
                 pa.array(cut), pa.array(np.concatenate([*x, np.zeros(0, t)]).astype(t)))
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(n, pa.int32()), pa.array(sig_a, pa.int64()),
-                 pa.array(sig_b, pa.int64()), flat(tokens, np.int64), flat(bits, np.int32)],
-                ["doc_id", "n", "sig_a", "sig_b", "tokens", "bits"])
+                 pa.array(sig_b, pa.int64()), flat(tokens, np.int64), flat(bits, np.int32),
+                 pa.array(profiles, pa.binary())],
+                ["doc_id", "n", "sig_a", "sig_b", "tokens", "bits", "profile"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        build, "doc_id long, n int, sig_a long, sig_b long, tokens array<long>, bits array<int>")
+        build, "doc_id long, n int, sig_a long, sig_b long, tokens array<long>, bits array<int>, "
+               "profile binary")
 
 
 def _token_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -248,9 +274,9 @@ def _fits(n_a, n_b):
     return ((DEN * F.least(n_a, n_b)) >= (NUM * F.greatest(n_a, n_b)))
 
 
-def linked(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
-    """The pairs (a, b) whose sets link, saved: whole sets of the documents in
-    ``pairs`` only, built from their texts, and exact intersections."""
+def linked(pairs: DataFrame, docs: DataFrame, profiles: DataFrame, name: str) -> DataFrame:
+    """The pairs (a, b) whose sets link, saved. Profiles rule out most pairs that don't;
+    of the documents in the others, whole sets are built from their texts and compared."""
     def test(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = []
@@ -267,7 +293,11 @@ def linked(pairs: DataFrame, docs: DataFrame, name: str) -> DataFrame:
                 [b.column("a").filter(mask), b.column("b").filter(mask)], ["a", "b"])
 
     spark = docs.sparkSession
-    pairs = saved(pairs.select("a", "b"), f"{name}-pairs")
+    side = {x: profiles.select(F.col("doc_id").alias(x), F.col("n").alias(f"n_{x}"),
+                               F.col("profile").alias(f"profile_{x}")) for x in "ab"}
+    pairs = saved(pairs.select("a", "b").join(side["a"], "a").join(side["b"], "b")
+                  .select("a", "b", "n_a", "n_b", "profile_a", "profile_b")
+                  .mapInArrow(_may_link, "a long, b long").distinct(), f"{name}-pairs")
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
     sets = saved(full_sets(docs, wanted), f"{name}-sets")
     done_with(spark)
@@ -286,9 +316,10 @@ def full_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.binary())],
                                              ["doc_id", "set"])
 
+    few = wanted.count() <= IDS_SENT         # texts are shuffled only beyond that
+    ids = F.broadcast(wanted) if few else wanted.hint("shuffle_hash")
     return (docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-            .join(wanted.hint("shuffle_hash"), "doc_id", "left_semi")
-            .mapInArrow(build, "doc_id long, set binary"))
+            .join(ids, "doc_id", "left_semi").mapInArrow(build, "doc_id long, set binary"))
 
 
 def star_pairs(shared: DataFrame) -> DataFrame:
@@ -394,6 +425,7 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     prefixes = saved(prefix_sets(docs, frequency_sketch(docs)), "prefix-sets")
     sets = saved(prefixes.select("doc_id", "n", "sig_a", "sig_b"), "set-signatures")
     real = (F.col("n") > 0) & F.col("doc_id").isNotNull()
+    profiles = saved(prefixes.where(real).select("doc_id", "n", "profile"), "set-profiles")
     classes = saved(sets.where(real).groupBy("sig_a", "sig_b", "n")
                     .agg(F.min("doc_id").alias("speaker"), F.count(F.lit(1)).alias("members")),
                     "set-classes")
@@ -403,17 +435,18 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
                 .dropDuplicates(["doc_id", "sig_a", "sig_b"]))
     shared = saved(shared_tokens(speakers), "shared-tokens")
     done_with(spark, prefixes)
-    near = linked(star_pairs(shared), docs, "star")
+    near = linked(star_pairs(shared), docs, profiles, "star")
     for turn in range(HEAD_ROUNDS + 1):
         rows = saved(grouped_rows(shared, components(near)), "grouped-tokens")
         asked = saved(qualifying_rows(rows), "qualifying-rows")
         opened = saved(qualifying_groups(asked, rows), "qualifying-groups")
         if turn < HEAD_ROUNDS:
             heads = opened.select(F.col("doc_id").alias("a"), F.col("head").alias("b"))
-            near = near.unionByName(linked(heads, docs, "head"))
+            near = near.unionByName(linked(heads, docs, profiles, "head"))
             done_with(spark, rows, asked, opened)
-    far = linked(opened_pairs(rows, asked, opened), docs, "opened")
-    done_with(spark, shared, rows, asked, opened)
+    far = linked(opened_pairs(rows, asked, opened), docs, profiles,
+                 "opened")
+    done_with(spark, shared, rows, asked, opened, profiles)
     found = components(near.unionByName(far))
     of_class = (classes.join(found.select(F.col("node").alias("speaker"), "component"),
                              "speaker", "left")
