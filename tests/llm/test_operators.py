@@ -10,7 +10,7 @@ import pytest
 import public_tokenizers
 from tokenizers import Tokenizer
 
-from llm_cases import EDGE_ROWS, LONG, frame  # noqa: I001
+from llm_cases import EDGE_ROWS, LONG, brute_components, frame, shingles  # noqa: I001
 from skyroll.llm import (binary_output, decontamination, exact_dedup, jaccard_join, langid,
                          packing, quality, toxicity)
 
@@ -104,28 +104,6 @@ def test_sum_of_squares_choice_is_the_minimum():
 
 # 4 Jaccard join
 
-def shingles(text):
-    low = (text or "").translate({c: c + 32 for c in range(65, 91)})
-    w = re.findall(r"[^\x20\x09-\x0D]+", low)
-    return {tuple(w)} - {()} if len(w) < 5 else {tuple(w[i:i + 5]) for i in range(len(w) - 4)}
-
-
-def brute_components(rows):
-    rows = [(i, shingles(t)) for i, t in rows]
-    root = {i: i for i, _ in rows}
-
-    def find(i):
-        while root[i] != i:
-            i = root[i]
-        return i
-    for k, (i, a) in enumerate(rows):
-        for j, b in rows[:k]:
-            if a and b and 100 * len(a & b) >= 75 * len(a | b) and find(i) != find(j):
-                x, y = sorted((find(i), find(j)))
-                root[y] = x
-    return sorted((i, len(s), find(i)) for i, s in rows)
-
-
 def jaccard(docs):
     return sorted(tuple(r) for r in jaccard_join.jaccard_components(docs).select(
         "doc_id", "n_shingles", "component_id").collect())
