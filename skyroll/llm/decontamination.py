@@ -50,13 +50,20 @@ LCS_WITH_ANSWER = 0.5    # the same where the answer is found too
 ANSWER_SHARE = 0.8       # of the answer's words
 BATCH_ROWS = 2000
 WORDS_AT_ONCE = 32768    # words of text whose products are held at a time
-_SIGNS = r"[!-/:-@\[-`{-~]"
+# ASCII signs become blanks; all other bytes stay.
+_NO_SIGNS = np.array([0x20 if 0x21 <= b <= 0x2F or 0x3A <= b <= 0x40 or 0x5B <= b <= 0x60
+                      or 0x7B <= b <= 0x7E else b for b in range(256)], dtype=np.uint8)
 
 
 def _words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of lower-cased words without ASCII signs; digits are words too."""
-    plain = pc.replace_substring_regex(pc.utf8_lower(texts.fill_null("")), _SIGNS, " ")
-    return word_hashes(plain)
+    low = pc.utf8_lower(texts.fill_null(""))
+    _, ends, data = low.buffers()
+    if data is None:
+        return word_hashes(low)
+    plain = _NO_SIGNS[np.frombuffer(data, np.uint8)]
+    return word_hashes(pa.Array.from_buffers(low.type, len(low), [None, ends, pa.py_buffer(plain)],
+                                             offset=low.offset))
 
 
 def _bucket(words: np.ndarray) -> np.ndarray:
@@ -216,40 +223,29 @@ def fit_block(passages: DataFrame, rows: list, idf: np.ndarray) -> Block | None:
                  vocabulary, basis, idf)
 
 
-def row_sums(rows: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Sums of ``rows[start:end]`` for each pair; the last row is zero and
-    stands for what lies past an end."""
-    out = rows[np.where(start < end, start, len(rows) - 1)]
-    for j in range(1, int((end - start).max(initial=0))):
-        out += rows[np.where(start + j < end, start + j, len(rows) - 1)]
-    return out
-
-
 def candidate_windows(words: np.ndarray, at: np.ndarray, block: Block, idf: np.ndarray,
                       cosine: float = CANDIDATE_COSINE) -> Iterator[tuple]:
     """(text, first word, last word, item, cosine) of the windows near an item.
 
-    The latent product is linear in the window's terms, so each term's product
-    with every item is folded once and added up over short units of text. With
-    tf in place of sqrt(tf) such a sum is never below the product of the
-    window's vector; only windows whose sum can reach ``cosine`` get a vector.
+    The latent product is linear in the window's terms. With tf in place of
+    sqrt(tf) the sum of its terms' products is never below the product of the
+    window's vector, so a window goes on only while such a sum can reach
+    ``cosine``: first with each term's greatest product with any item, which is one
+    number for each word; then, for the few that are left, with every item.
     """
     bucket = _bucket(words)
     mass = idf[bucket] ** 2
     place = np.searchsorted(block.vocabulary, words)
     place[place == len(block.vocabulary)] = 0
     inside = block.vocabulary[place] == words
-    term_at = np.where(inside, place, len(block.vocabulary))
+    pull = block.pull(idf)
+    most = np.maximum(pull.max(axis=1), 0).astype(np.float64)
     total = np.concatenate([[0.0], np.cumsum(mass)])
     shared = np.concatenate([[0.0], np.cumsum(mass * inside)])
-    pull = block.pull(idf)
-    unit = block.sizes[0] // 4
+    reach = np.concatenate([[0.0], np.cumsum(most[np.where(inside, place, len(most) - 1)])])
+    known = np.flatnonzero(inside)
+    term_of = place[known]
     first, last = at[:-1], at[1:]
-    units = -(-(last - first) // unit)
-    begin = np.concatenate([[0], np.cumsum(units)])
-    text = np.repeat(np.arange(len(first)), units)
-    starts = np.append(first[text] + (np.arange(len(text)) - begin[text]) * unit, len(words))
-    windows = []
     for size in block.sizes:
         step = size // 4
         count = np.where(last > first, np.maximum(0, -(-(last - first - size) // step)) + 1, 0)
@@ -258,28 +254,32 @@ def candidate_windows(words: np.ndarray, at: np.ndarray, block: Block, idf: np.n
         a = first[doc] + turn * step
         z = np.minimum(a + size, last[doc])
         norm2 = total[z] - total[a]
-        near = np.flatnonzero(shared[z] - shared[a] >= (cosine ** 2) * norm2 - 1e-9)
-        doc, a, z, norm2 = doc[near], a[near], z[near], norm2[near]
-        u = begin[doc] + (a - first[doc]) // unit
-        windows.append((doc, a, z, np.sqrt(norm2), u,
-                        begin[doc] - (first[doc] - z) // unit))
-    span = block.sizes[-1] // unit + 1
-    at_once = max(1, WORDS_AT_ONCE // unit)
-    for lo in range(0, len(text), at_once):
-        hi = min(lo + at_once, len(text))
-        edge = starts[lo:min(hi + span, len(text)) + 1]
-        own = pull[np.append(term_at[edge[0]:edge[-1]], len(pull) - 1)]
-        sums = np.concatenate([row_sums(own, edge[:-1] - edge[0], edge[1:] - edge[0]), own[-1:]])
-        for doc, a, z, norm, u, v in windows:
-            x, y = np.searchsorted(u, (lo, hi))
-            if x == y:
-                continue
-            most = row_sums(sums, u[x:y] - lo, v[x:y] - lo)
+        near = np.flatnonzero(
+            (shared[z] - shared[a] >= (cosine ** 2) * norm2 - 1e-9)
+            & (reach[z] - reach[a] >= (cosine - 1e-3) * np.sqrt(norm2)) & (shared[z] > shared[a]))
+        doc, a, z, norm = doc[near], a[near], z[near], np.sqrt(norm2[near])
+        # a window is four steps of its text, and four windows share a step
+        steps = np.unique((a[:, None] + np.arange(4) * step).ravel())
+        ends = np.minimum(steps + step, at[np.searchsorted(at, steps, side="right").clip(max=len(at) - 1)])
+        lo, hi = np.searchsorted(known, steps), np.searchsorted(known, np.maximum(steps, ends))
+        at_once = max(1, WORDS_AT_ONCE // size)
+        for x in range(0, len(a), at_once):
+            y = min(x + at_once, len(a))
+            p, q = np.searchsorted(steps, (a[x], a[y - 1] + 3 * step + 1))
+            length = hi[p:q] - lo[p:q]
+            begin = np.cumsum(length) - length
+            own = np.arange(length.sum()) + np.repeat(lo[p:q] - begin, length)
+            full = np.flatnonzero(length)
+            part = np.zeros((q - p, pull.shape[1]), dtype=np.float32)
+            part[full] = np.add.reduceat(pull[term_of[own]], begin[full], axis=0)
+            sums = np.zeros((y - x, pull.shape[1]), dtype=np.float32)
+            for quarter in range(4):
+                from_ = a[x:y] + quarter * step
+                inside_text = from_ < z[x:y]
+                sums[inside_text] += part[np.searchsorted(steps, from_[inside_text]) - p]
             for k in (x + np.flatnonzero(
-                    (most >= ((cosine - 1e-3) * norm[x:y])[:, None]).any(axis=1))).tolist():
+                    (sums >= ((cosine - 1e-3) * norm[x:y])[:, None]).any(axis=1))).tolist():
                 term, weight = passage_vector(words[a[k]:z[k]], block.vocabulary, idf)
-                if not len(term):
-                    continue
                 found = block.items @ (weight.astype(np.float32) @ block.basis[term])
                 found /= np.float32(max(norm[k], 1e-9))
                 for i in np.flatnonzero(found >= cosine).tolist():
