@@ -6,7 +6,11 @@ case, so the ids are those of the whole text:
 
 - byte-level vocabulary: before a blank that follows a character other than
   white space. Its pattern keeps that blank with what comes after it.
-- word vocabulary (white space dropped): at every ASCII white space.
+- word vocabulary (white space dropped): at every ASCII white space, and where
+  an ASCII letter or one of U+00C0 to U+00FF and an ASCII sign other than the
+  apostrophe (which may begin a contraction) meet. Its lower-casing of those
+  letters is done on the bytes of all texts at once, save before a character
+  that could combine with the letter.
 
 Within a piece, a run of letters with plain punctuation after it is exactly
 two pre-tokens, which the library's BPE model encodes directly; every other
@@ -36,6 +40,28 @@ def _byte_letters() -> dict[int, str]:
 
 
 _BYTES = {k: v for k, v in _byte_letters().items() if chr(k) != v}
+# Kinds of bytes: ASCII letters, ASCII signs without the apostrophe.
+_LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
+_SIGN = np.array([33 <= b < 127 and not chr(b).isalnum() and b != 39 for b in range(256)])
+_LATIN = 0xC3            # leads the two bytes of U+00C0 to U+00FF
+_NO_LETTERS = (0x97, 0xB7)  # what follows it in the signs among them
+
+
+def _latin_letters(data: np.ndarray) -> np.ndarray:
+    """Places of the first bytes of letters from U+00C0 to U+00FF."""
+    lead = np.flatnonzero(data[:-1] == _LATIN)
+    return lead[~np.isin(data[lead + 1], _NO_LETTERS)]
+
+
+def _lowered(data: np.ndarray) -> np.ndarray:
+    """``data`` with A-Z and U+00C0 to U+00DE in lower case, where the next
+    character is ASCII or one of those, so none that combines with the letter."""
+    low = data.copy()
+    plain = np.append((data[1:] < 0x80) | (data[1:] == _LATIN), True)
+    low[(data >= 65) & (data <= 90) & plain] += 32
+    second = _latin_letters(data) + 1
+    low[second[(data[second] < 0x9F) & plain[second]]] += 32
+    return low
 
 
 class PieceEncoder:
@@ -101,6 +127,8 @@ class PieceEncoder:
         if self.keep_blanks:
             return self._lines(piece) if "\n" in piece else self._run(piece)
         word = piece.strip(" \t\n\x0b\x0c\r")
+        if word.isalpha() and max(word) <= "\xff":
+            return self._letters(word.lower())
         return self._run(word) if word else b""
 
     def _pieces(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -114,7 +142,13 @@ class PieceEncoder:
                                                     | (prior == 0x81) | (prior == 0x9A)))
             cuts = cuts[~run]
         else:
-            cuts = np.flatnonzero((data == 32) | ((data >= 9) & (data <= 13)))
+            letter, sign = _LETTER[data], _SIGN[data]
+            begins, ends_letter = letter.copy(), letter
+            latin = _latin_letters(data)
+            begins[latin], ends_letter[latin + 1] = True, True
+            cut = (data == 32) | ((data >= 9) & (data <= 13))
+            cut[1:] |= (ends_letter[:-1] & sign[1:]) | (sign[:-1] & begins[1:])
+            cuts = np.flatnonzero(cut)
         starts = np.sort(np.concatenate([ends[:-1][np.diff(ends) > 0], cuts]), kind="stable")
         return starts[np.diff(starts, prepend=-1) > 0]
 
@@ -146,6 +180,8 @@ class PieceEncoder:
         ends = ends[texts.offset:texts.offset + n + 1].astype(np.int64)
         data = np.frombuffer(raw[2], np.uint8)[ends[0]:ends[-1]]
         ends = ends - ends[0]
+        if not self.keep_blanks:
+            data = _lowered(data)
         starts = self._pieces(data, ends)
         pieces = pa.LargeStringArray.from_buffers(
             len(starts), pa.py_buffer(np.append(starts, len(data)).astype(np.int64)),
