@@ -112,13 +112,19 @@ class Deliveries:
                 continue
             raw = read_raw_groups(self.spark, own, spec, rejects=True)
             parts.append(standardise(raw.where(F.col(REJECTED).isNull()), spec, [FILE])
-                         .withColumn(SOURCE_COL, F.lit(spec.label))
-                         .withColumn(DELIVERY, F.regexp_extract(FILE, self.pattern, 1)))
+                         .withColumn(SOURCE_COL, F.lit(spec.label)))
         if parts:
-            additive_grain_table(unify(parts), by=ID).write.parquet(f"{folder}/{GRAINS}")
+            self.added(unify(parts)).write.parquet(f"{folder}/{GRAINS}")
         (changed.withColumn("version", F.lit(version)).coalesce(1)
          .write.parquet(f"{folder}/{LIST}"))
 
+    def added(self, flights: DataFrame) -> DataFrame:
+        """What each delivery adds. Rows are grouped by their file; its delivery is looked
+        up in the few rows of every file, not in each flight."""
+        by_file = additive_grain_table(flights, by=[SOURCE_COL, FILE])
+        return merge_additive(by_file.withColumn(
+            DELIVERY, F.regexp_extract(FILE, self.pattern, 1)).drop(FILE))
+
     def contributions(self) -> DataFrame | None:
         """The newest contribution of every delivery that is there."""
         known = self.known()

@@ -184,6 +184,17 @@ def test_deliveries_equal_the_batch_run(spark, tmp_path):
     assert rows(d.outputs().airlines) == rows(by_airline(standardise(raw, SPEC)))
 
 
+def test_a_delivery_is_named_once_a_file_not_once_a_row(spark, tmp_path):
+    for name in ("jan/a", "jan/b", "feb/a"):
+        put(tmp_path / "in" / f"{name}.csv", ",".join(COLS), line(), line(AIRLINE="BB"))
+    raw = read_raw_groups(spark, str(tmp_path / "in"), SPEC, rejects=True)
+    d = Deliveries(spark, str(tmp_path / "state"))
+    added = d.added(standardise(raw, SPEC, [FILE]).withColumn("source", F.lit("2015")))
+    assert rows(added.where("grain = 'all'"), "delivery", "n") == [("feb", 2), ("jan", 4)]
+    per_row = added._jdf.queryExecution().optimizedPlan().toString().split("Expand", 1)[1]
+    assert "regexp_extract" not in per_row
+
+
 # ------------------------------------------------------------------- holidays
 
 def year(path, name, content):
