@@ -3,7 +3,11 @@
 from __future__ import annotations
 
 import gc
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,6 +16,7 @@ from skyroll.session import scratch_path
 # Rows of one Arrow batch handed to a Python task. Texts run to more than
 # 100 kB, so a batch of the default 10,000 rows could exceed a worker.
 ARROW_ROWS = 1000
+TEXT_BYTES = 2 << 20     # of texts that a task works on at a time
 
 
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
@@ -19,6 +24,20 @@ def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
+def by_bytes(batches: Iterator[pa.RecordBatch], limit: int = TEXT_BYTES) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in slices of at most ``limit`` bytes of ``text``, or of
+    one row: what a task computes for the texts of a slice is bounded by that."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column("text")), 0).to_numpy(
+            zero_copy_only=False), dtype=np.int64)
+        a = 0
+        while a < b.num_rows:
+            before = size[a - 1] if a else 0
+            z = max(a + 1, int(np.searchsorted(size, before + limit, side="right")))
+            yield b.slice(a, z - a)
+            a = z
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared scratch folder and read it back: the lineage
     ends there, so a lost executor re-reads files instead of repeating work."""

@@ -36,7 +36,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyroll.llm.common import documents, saved, small_batches
+from skyroll.llm.common import by_bytes, documents, saved, small_batches
 from skyroll.llm.jaccard_join import word_hashes
 
 BUCKET_BITS = 16         # word weights are kept for this many hash buckets
@@ -74,7 +74,7 @@ def word_weights(docs: DataFrame) -> np.ndarray:
     """idf by bucket, from the document frequencies over all documents."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen, n = np.zeros(1 << BUCKET_BITS, dtype=np.int64), 0
-        for b in batches:
+        for b in by_bytes(batches):
             words, at = _words(b.column("text"))
             doc = np.repeat(np.arange(b.num_rows), np.diff(at))
             pair = np.sort((doc << BUCKET_BITS) | _bucket(words))
@@ -224,8 +224,9 @@ def fit_block(passages: DataFrame, rows: list, idf: np.ndarray) -> Block | None:
 
 
 def candidate_windows(words: np.ndarray, at: np.ndarray, block: Block, idf: np.ndarray,
-                      cosine: float = CANDIDATE_COSINE) -> Iterator[tuple]:
-    """(text, first word, last word, item, cosine) of the windows near an item.
+                      pull: np.ndarray, cosine: float = CANDIDATE_COSINE) -> Iterator[tuple]:
+    """(text, first word, last word, item, cosine) of the windows near an item;
+    ``pull`` is the block's.
 
     The latent product is linear in the window's terms. With tf in place of
     sqrt(tf) the sum of its terms' products is never below the product of the
@@ -238,7 +239,6 @@ def candidate_windows(words: np.ndarray, at: np.ndarray, block: Block, idf: np.n
     place = np.searchsorted(block.vocabulary, words)
     place[place == len(block.vocabulary)] = 0
     inside = block.vocabulary[place] == words
-    pull = block.pull(idf)
     most = np.maximum(pull.max(axis=1), 0).astype(np.float64)
     total = np.concatenate([[0.0], np.cumsum(mass)])
     shared = np.concatenate([[0.0], np.cumsum(mass * inside)])
@@ -324,14 +324,15 @@ def search(docs: DataFrame, blocks: list[Block], idf: np.ndarray) -> DataFrame:
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, weights = shared.value
-        for b in batches:
+        pulls = [block.pull(weights) for block in own]
+        for b in by_bytes(batches):
             words, at = _words(b.column("text"))
             ids = b.column("doc_id").to_pylist()
             out = []
-            for block in own:
+            for block, pull in zip(own, pulls, strict=True):
                 best: dict[tuple[int, int], tuple] = {}
                 for doc, a, z, i, cos in chain(literal_copies(words, at, block),
-                                               candidate_windows(words, at, block, weights)):
+                                               candidate_windows(words, at, block, weights, pull)):
                     margin = len(block.words[i]) // 2
                     lo, hi = max(int(at[doc]), a - margin), min(int(at[doc + 1]), z + margin)
                     share, found = confirm(words, lo, hi, block, i)

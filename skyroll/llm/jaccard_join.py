@@ -53,6 +53,7 @@ STAR_SHARE = 8           # ... where it shares one in so many tokens of its pref
 SIZE_BANDS = 16          # bands of set sizes in the matrix, per factor of e
 HEAD_ROUNDS = 1          # rounds in which groups that link by a head are merged
 BATCH_ROWS = 2000
+HASHED_AT_ONCE = 1 << 20  # bytes of text whose words are hashed at a time, or one word
 PROFILE_BITS = 9         # a set's profile counts its tokens in 2**9 parts
 PROFILE_FULL = 255       # ... up to so many in each
 IDS_SENT = 1_000_000     # wanted documents whose ids are sent to the scan of the texts
@@ -112,11 +113,18 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     stop[:-1] = blank[1:]
     stop[ends[1:][ends[1:] > 0] - 1] = True
     last = np.flatnonzero(stop & ~blank) + 1
-    low = data + np.where((data >= 65) & (data <= 90), np.uint8(32), np.uint8(0))
-    up, down = _Powers.get(len(data) + 1)
-    total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:len(data)], out=total[1:])
-    h = _mix((total[last] - total[first]) * down[first] + (last - first).astype(np.uint64))
+    h = np.empty(len(first), dtype=np.uint64)
+    i = 0
+    while i < len(first):        # a word's hash doesn't depend on its place
+        j = max(i + 1, int(np.searchsorted(last, first[i] + HASHED_AT_ONCE, side="right")))
+        a, z = first[i], last[j - 1]
+        part, begin, end = data[a:z], first[i:j] - a, last[i:j] - a
+        low = part + np.where((part >= 65) & (part <= 90), np.uint8(32), np.uint8(0))
+        up, down = _Powers.get(len(part) + 1)
+        total = np.zeros(len(part) + 1, dtype=np.uint64)
+        np.cumsum((low.astype(np.uint64) + np.uint64(1)) * up[:len(part)], out=total[1:])
+        h[i:j] = _mix((total[end] - total[begin]) * down[begin] + (end - begin).astype(np.uint64))
+        i = j
     return h, np.searchsorted(first, ends)
 
 
