@@ -5,14 +5,16 @@ between lines without words (a wrapped notice, comment marks stripped). Both
 are classified by sparse multinomial logistic regression on
 word one- and two-grams into licence families and an unknown class. Positive
 examples are the families' template paragraphs and pieces of them; unknown ones
-are paragraphs of the corpus itself (a bounded sample), so ordinary prose is
+are all paragraphs of the corpus that are not like a template, so ordinary prose is
 what the model knows best as unknown. The probability a family needs is
-calibrated on other corpus paragraphs: at most ``FALSE_ALARMS`` of them may
-reach it. A prediction is confirmed by comparing the paragraph with the
+calibrated on all of these: at most ``FALSE_ALARMS`` of them may exceed it. A
+prediction is confirmed by comparing the paragraph with the
 family's templates: most of a template's two-grams must be in it.
 
 Only n-grams of the templates are features, so the model's size is fixed by
-them. Scoring is map-only and covers every paragraph of every whole text.
+them. One pass over every whole text writes the features of every paragraph;
+equal ones are counted, so the fit and the calibration work on distinct features
+weighted by their counts. Scoring is map-only and covers every paragraph.
 
 Defined cases: null and empty texts and blank lines give no rows; a paragraph's
 number is that of its first line, and ``lines`` tells a block (2 and more) from
@@ -23,6 +25,8 @@ rows give a row each; an empty corpus gives no rows; extra columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.functions import vector_to_array
@@ -32,8 +36,9 @@ from pyspark.sql import functions as F
 from skyroll.llm.common import documents, saved
 
 UNKNOWN = "unknown"
-FIT_DOCUMENTS = 800      # expected documents whose paragraphs are unknown examples
-FALSE_ALARMS = 0.0005    # of the calibration paragraphs may reach the threshold
+FALSE_ALARMS = 0.0005    # of the unknown paragraphs may exceed the threshold
+THRESHOLD_STEPS = 1000   # of a range of probabilities, each round of the calibration
+THRESHOLD_ROUNDS = 3
 LEAST_PROBABILITY = 0.6
 CONFIRM_SHARE = 0.6      # of a template's two-grams
 COMMENT_WORD = r"(?i)^\s*(rem|dnl)(?=\s)"  # comment marks made of letters
@@ -156,87 +161,153 @@ def training_examples(known: DataFrame) -> DataFrame:
 
 
 class LicenseModel:
-    def __init__(self, vectorizer, regression, families, threshold, templates):
-        self.vectorizer, self.regression = vectorizer, regression
-        self.families, self.threshold, self.templates = families, threshold, templates
+    def __init__(self, features, regression, threshold):
+        self.features, self.regression, self.threshold = features, regression, threshold
 
     def scores(self, rows: DataFrame) -> DataFrame:
-        """``rows`` with the best family and its probability."""
-        found = self.regression.transform(self.vectorizer.transform(with_grams(rows)))
+        """``rows`` (of ``LicenseFeatures``) with the best family and its probability."""
+        families = self.features.families
         p = vector_to_array("probability")
-        known = F.slice(p, 2, len(self.families))
+        known = F.slice(p, 2, len(families))
         best = F.array_max(known)
-        names = F.array(*[F.lit(f) for f in self.families])
-        return found.select(*rows.columns, best.alias("probability"), F.element_at(
-            names, F.array_position(known, best).cast("int")).alias("family"))
+        names = F.array(*[F.lit(f) for f in families])
+        return self.regression.transform(rows).select(
+            *rows.columns, best.alias("probability"), F.element_at(
+                names, F.array_position(known, best).cast("int")).alias("family"))
 
 
-def train_licenses(docs: DataFrame, templates: dict = TEMPLATES) -> LicenseModel:
-    spark = docs.sparkSession
-    families = sorted(templates)
-    known = _constant_rows(spark, templates)
-    positive = training_examples(known)
-    vocabulary = [r["g"] for r in with_grams(positive).select(F.explode("grams").alias("g"))
-                  .distinct().orderBy("g").collect()]  # fixed by the templates
-    vectorizer = CountVectorizerModel.from_vocabulary(
-        vocabulary, inputCol="grams", outputCol="features")
-    vectorizer.setBinary(True)
-    total = max(1, docs.count())
-    million = 1_000_000
-    share = min(million, -(-million * 2 * FIT_DOCUMENTS // total))
-    turn = F.pmod(F.xxhash64("doc_id"), F.lit(million))
-    # The sample's own licence paragraphs are no examples of the unknown class,
+class LicenseFeatures:
+    """Which n-grams of the templates a paragraph has."""
+
+    def __init__(self, spark: SparkSession, templates: dict):
+        self.families = sorted(templates)
+        known = _constant_rows(spark, templates)
+        self.positive = training_examples(known)
+        words = known.select("family", words_of(F.col("template")).alias("words"))
+        vocabulary = [r["g"] for r in
+                      with_grams(self.positive).select(F.explode("grams").alias("g"))
+                      .union(with_grams(words).select(F.explode("grams").alias("g")))
+                      .distinct().orderBy("g").collect()]  # fixed by the templates
+        place = {g: k for k, g in enumerate(vocabulary)}
+        # (family, places of its two-grams) of every template
+        self.templates = [(r["family"], sorted({place[g] for g in r["g"]})) for r in
+                          words.select("family", two_grams(F.col("words")).alias("g")).collect()]
+        self.two_grams = sorted({k for _, own in self.templates for k in own})
+        # beyond the two-grams of the longest template their number tells nothing
+        self.most = max(len(own) for _, own in self.templates) + 1
+        self.vectorizer = CountVectorizerModel.from_vocabulary(
+            vocabulary, inputCol="grams", outputCol="features")
+        self.vectorizer.setBinary(True)
+
+    def of(self, words: DataFrame) -> DataFrame:
+        """``words`` replaced by ``features`` and ``grams``, the number of distinct
+        two-grams (up to ``most``)."""
+        kept = [c for c in words.columns if c != "words"]
+        n = F.least(F.size(F.array_distinct(two_grams(F.col("words")))), F.lit(self.most))
+        found = self.vectorizer.transform(with_grams(words.withColumn("n_grams", n)))
+        return found.select(*kept, "features", F.col("n_grams").alias("grams"))
+
+    @staticmethod
+    def having(rows: DataFrame) -> DataFrame:
+        """``rows`` with ``have``, the places of their n-grams."""
+        return rows.withColumn("have", F.array_compact(F.transform(
+            vector_to_array("features"), lambda x, k: F.when(x > 0, k))))
+
+    @staticmethod
+    def hits(places: list[int]) -> Column:
+        """How many of the n-grams at ``places`` a paragraph has."""
+        return F.size(F.array_intersect("have", F.array(*[F.lit(k) for k in places])))
+
+    def like_a_template(self) -> Column:
+        """Has most two-grams of a template, or none but a template's."""
+        like = [(self.hits(own) >= CONFIRM_SHARE * len(own)) | (self.hits(own) == F.col("grams"))
+                for _, own in self.templates]
+        least = CONFIRM_SHARE * min(len(own) for _, own in self.templates)
+        any_own = self.hits(self.two_grams)      # too few for most paragraphs
+        return ((any_own >= least) | (any_own == F.col("grams"))) & reduce(lambda a, b: a | b, like)
+
+    def similarity(self) -> Column:
+        """The greatest share of a template of ``family`` that a paragraph has."""
+        by_family = None
+        for family in self.families:
+            shares = [self.hits(own) / len(own) for f, own in self.templates if f == family]
+            case = (F.col("family") == family, F.greatest(*shares, F.lit(0.0)))
+            by_family = F.when(*case) if by_family is None else by_family.when(*case)
+        return by_family
+
+
+def least_threshold(scored: DataFrame, share: float = FALSE_ALARMS) -> float:
+    """The smallest probability from ``LEAST_PROBABILITY`` on that at most ``share`` of the
+    ``n`` paragraphs behind each row of ``scored`` exceed, to a billionth part: each round
+    counts ``THRESHOLD_STEPS`` steps of a range and goes on within the step that is one too
+    many."""
+    allowed = int(share * (scored.agg(F.sum("n")).first()[0] or 0))
+    low, high, above = LEAST_PROBABILITY, 1.0, 0
+    for _ in range(THRESHOLD_ROUNDS):
+        width = (high - low) / THRESHOLD_STEPS
+        step = F.ceil((F.col("probability") - low) / width) - 1
+        step = F.greatest(F.lit(0), F.least(F.lit(THRESHOLD_STEPS - 1), step))
+        counts = {r["step"]: r["n"] for r in
+                  scored.where((F.col("probability") > low) & (F.col("probability") <= high))
+                  .groupBy(step.alias("step")).agg(F.sum("n").alias("n")).collect()}
+        for k in range(THRESHOLD_STEPS - 1, -1, -1):
+            if above + counts.get(k, 0) > allowed:
+                low, high = low + k * width, low + (k + 1) * width
+                break
+            above += counts.get(k, 0)
+        else:
+            return low
+    return min(high, 1.0)
+
+
+def fit_licenses(features: LicenseFeatures, rows: DataFrame) -> LicenseModel:
+    """``rows``: the features of all paragraphs of the corpus, saved."""
+    # The corpus's own licence paragraphs are no examples of the unknown class,
     # and neither are lines that a template contains.
-    grams = [F.array(*[F.lit(g) for g in r["g"]]) for r in
-             known.select(two_grams(words_of(F.col("template"))).alias("g")).collect()]
-    own = two_grams(F.col("words"))
-    like = [(F.size(F.array_intersect(own, g)) >= CONFIRM_SHARE * F.size(F.array_distinct(g)))
-            | (F.size(F.array_except(own, g)) == 0) for g in grams]
-    any_like = like[0]
-    for x in like[1:]:
-        any_like = any_like | x
-    plain = saved(paragraphs(docs.where(turn < share)).where(~any_like)
-                  .withColumn("fit", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0),
-                  "license-plain")
-    index = F.array_position(F.array(*[F.lit(f) for f in families]), F.col("family"))
-    examples = positive.select("words", index.cast("double").alias("label")).unionByName(
-        plain.where("fit").select("words", F.lit(0.0).alias("label")))
+    # Written down, or the filter would be applied to every paragraph.
+    alike = saved(features.having(rows.groupBy("features", "grams").agg(
+        F.count(F.lit(1)).alias("n"))), "license-alike")
+    plain = saved(alike.where(~features.like_a_template())
+                  .groupBy("features").agg(F.sum("n").alias("n")), "license-plain")
+    unknown = plain.agg(F.sum("n")).first()[0] or 0
+    index = F.array_position(F.array(*[F.lit(f) for f in features.families]), F.col("family"))
+    known = features.of(features.positive).select("features", index.cast("double").alias("label"))
     counts = {r["label"]: r["n"] for r in
-              examples.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
-    weight = F.when(F.col("label") == 0, F.lit(1.0))
+              known.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    weight = F.lit(1.0)
     for label, n in counts.items():
-        if label > 0:
-            weight = weight.when(F.col("label") == label, F.lit(
-                max(1.0, counts.get(0.0, 0) / 20.0 / n)))
-    ready = saved(vectorizer.transform(with_grams(examples)).select(
-        "features", "label", weight.alias("weight")), "license-examples")
+        weight = F.when(F.col("label") == label, F.lit(max(1.0, unknown / 20.0 / n))).otherwise(weight)
+    ready = saved(known.withColumn("weight", weight).unionByName(plain.select(
+        "features", F.lit(0.0).alias("label"), F.col("n").cast("double").alias("weight"))),
+        "license-examples")
     regression = LogisticRegression(
         family="multinomial", weightCol="weight", maxIter=80, regParam=0.0005,
         elasticNetParam=0.5, standardization=False).fit(ready)
-    model = LicenseModel(vectorizer, regression, families, LEAST_PROBABILITY, templates)
-    alarm = model.scores(plain.where(~F.col("fit")).select("words")).approxQuantile(
-        "probability", [1 - FALSE_ALARMS], 0.0001)
-    if alarm:
-        model.threshold = max(LEAST_PROBABILITY, alarm[0])
+    model = LicenseModel(features, regression, LEAST_PROBABILITY)
+    model.threshold = least_threshold(saved(
+        model.scores(plain).select("probability", "n"), "license-scores"))
     return model
 
 
-def scan_licenses(docs: DataFrame, model: LicenseModel) -> DataFrame:
-    """doc_id, paragraph, family, probability, similarity, confirmed, lines."""
-    found = model.scores(paragraphs(docs)).where(F.col("probability") > model.threshold)
-    own = two_grams(F.col("words"))
-    by_family = None
-    for family, texts in sorted(model.templates.items()):
-        shares = [F.size(F.array_intersect(own, g)) / F.size(F.array_distinct(g)) for g in
-                  (two_grams(words_of(F.lit(t))) for t in texts)]
-        best = F.greatest(*shares) if len(shares) > 1 else shares[0]
-        case = (F.col("family") == family, best)
-        by_family = F.when(*case) if by_family is None else by_family.when(*case)
-    return found.withColumn("similarity", by_family).select(
+def train_licenses(docs: DataFrame, templates: dict = TEMPLATES) -> LicenseModel:
+    features = LicenseFeatures(docs.sparkSession, templates)
+    return fit_licenses(features, saved(features.of(paragraphs(docs)), "license-paragraphs"))
+
+
+def found_licenses(rows: DataFrame, model: LicenseModel) -> DataFrame:
+    found = model.scores(rows).where(F.col("probability") > model.threshold)
+    return model.features.having(found).withColumn(
+        "similarity", model.features.similarity()).select(
         "doc_id", "paragraph", "family", "probability", "similarity",
         (F.col("similarity") >= CONFIRM_SHARE).alias("confirmed"), "lines")
 
 
+def scan_licenses(docs: DataFrame, model: LicenseModel) -> DataFrame:
+    """doc_id, paragraph, family, probability, similarity, confirmed, lines."""
+    return found_licenses(model.features.of(paragraphs(docs)), model)
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
-    return scan_licenses(docs, train_licenses(docs))
+    features = LicenseFeatures(spark, TEMPLATES)
+    rows = saved(features.of(paragraphs(documents(spark, sf_dir))), "license-paragraphs")
+    return found_licenses(rows, fit_licenses(features, rows))
