@@ -4,22 +4,28 @@ Words repeat, so the tokenizer's model sees each distinct word of a worker
 once. A text is cut where the tokenizer's own pre-tokenisation cuts in any
 case, so the ids are those of the whole text:
 
-- byte-level vocabulary: before a blank that follows a character other than
-  white space. Its pattern keeps that blank with what comes after it.
+- byte-level vocabulary: before white space that follows a character other than
+  white space; before the last character of white space that is followed by a
+  surely other one, and after it unless it is a blank, which the pattern keeps
+  with what comes after it; and where ASCII letters, digits and signs meet,
+  save after an apostrophe (which may begin a contraction).
 - word vocabulary (white space dropped): at every ASCII white space, and where
   an ASCII letter or one of U+00C0 to U+00FF and an ASCII sign other than the
   apostrophe (which may begin a contraction) meet. Its lower-casing of those
   letters is done on the bytes of all texts at once, save before a character
   that could combine with the letter.
 
-Within a piece, a run of letters with plain punctuation after it is exactly
-two pre-tokens, which the library's BPE model encodes directly; every other
-piece goes through the whole tokenizer, and so does every text with the
-literal of an added token.
+New pieces of the byte-level vocabulary are joined, so that the whole tokenizer
+cuts between them again, and encoded in a few calls; a token stands for a known
+number of bytes, which tells whose it is. Within a piece of the word vocabulary,
+a run of letters with plain punctuation after it is exactly two pre-tokens, which
+the library's BPE model encodes directly; every other piece goes through the
+whole tokenizer, and so does every text with the literal of an added token.
 """
 
 from __future__ import annotations
 
+import os
 from array import array
 from pathlib import Path
 
@@ -29,6 +35,7 @@ import pyarrow.compute as pc
 from tokenizers import Tokenizer
 
 WORD_CACHE = 250_000     # pieces of a generation of a worker's cache
+JOINED = 1 << 16         # characters of new pieces that are encoded at a time
 
 
 def _byte_letters() -> dict[int, str]:
@@ -45,6 +52,31 @@ _LETTER = np.array([chr(b).isalpha() and b < 128 for b in range(256)])
 _SIGN = np.array([33 <= b < 127 and not chr(b).isalnum() and b != 39 for b in range(256)])
 _LATIN = 0xC3            # leads the two bytes of U+00C0 to U+00FF
 _NO_LETTERS = (0x97, 0xB7)  # what follows it in the signs among them
+# Kinds of bytes for the byte-level vocabulary, and what two neighbours tell.
+# A lead byte is one of a character beyond ASCII that is no white space.
+_OTHER, _ALPHA, _DIGIT, _MARK, _QUOTE, _BLANK, _SPACE, _HIGH, _LEAD = range(9)
+_KIND = np.array([
+    _LEAD if b > 0xC2 and b not in (0xE1, 0xE2, 0xE3) else _HIGH if b > 127 else _BLANK if b == 32 else _SPACE if 9 <= b <= 13 else _QUOTE if b == 39
+    else _ALPHA if chr(b).isalpha() else _DIGIT if chr(b).isdigit()
+    else _MARK if 33 <= b < 127 else _OTHER for b in range(256)], dtype=np.uint8)
+_CUT, _CUT_BEFORE, _CUT_UNSURE = 1, 2, 4  # between them, before both, perhaps between
+
+
+def _neighbours() -> np.ndarray:
+    out = np.zeros((16, 16), dtype=np.uint8)
+    solid = (_ALPHA, _DIGIT, _MARK, _QUOTE)
+    out[_BLANK, [*solid, _LEAD]] = _CUT_BEFORE
+    out[_SPACE, [*solid, _LEAD]] = _CUT | _CUT_BEFORE
+    for a in solid:
+        out[a, [_BLANK, _SPACE]] = _CUT
+        for b in solid:
+            if a != b and (a, b) not in ((_MARK, _QUOTE), (_QUOTE, _MARK), (_QUOTE, _ALPHA)):
+                out[a, b] = _CUT
+    out[_HIGH, [_BLANK, _SPACE]] = _CUT_UNSURE
+    return out.reshape(-1)
+
+
+_NEIGHBOURS = _neighbours()
 
 
 def _latin_letters(data: np.ndarray) -> np.ndarray:
@@ -77,6 +109,12 @@ class PieceEncoder:
         self.literals = sorted({t.content for t in
                                 self.tokenizer.get_added_tokens_decoder().values()})
         self.model = self.tokenizer.model
+        if keep_blanks:
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs the tasks
+            last = max(self.tokenizer.get_vocab().values())
+            self.n_bytes = np.zeros(last + 1, dtype=np.int64)
+            for token, i in self.tokenizer.get_vocab(with_added_tokens=False).items():
+                self.n_bytes[i] = len(token)  # a letter stands for a byte
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
@@ -84,28 +122,24 @@ class PieceEncoder:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _letters(self, word: str) -> bytes:
-        """Ids of one pre-token of letters (perhaps led by a blank)."""
+        """Ids of one pre-token of letters."""
         if not word.isascii():
             word = word.encode("utf-8").decode("latin-1").translate(_BYTES)
-        elif word[0] == " ":
-            word = _BYTES[32] + word[1:]
         return array("I", [t.id for t in self.model.tokenize(word)]).tobytes()
 
     def _run(self, run: str) -> bytes:
-        """Ids of a run without inner white space (one blank may lead it)."""
+        """Ids of a run without white space."""
         got = self.young.get(run)
         if got is None:
             got = self.old.get(run)
             if got is None:
-                word = run[1:] if run[0] == " " else run
-                core = word.rstrip(".,;:!?")
-                if not core.isalpha() or not (self.keep_blanks or core.isascii()):
+                core = run.rstrip(".,;:!?")
+                if not core.isalpha() or not core.isascii():
                     got = self._whole(run)
-                elif len(core) < len(word):
-                    got = (self._run(run[:len(run) - len(word) + len(core)])
-                           + self._run_of_signs(word[len(core):]))
+                elif len(core) < len(run):
+                    got = self._run(core) + self._run_of_signs(run[len(core):])
                 else:
-                    got = self._letters(run if self.keep_blanks else run.lower())
+                    got = self._letters(run.lower())
             self.young[run] = got
         return got
 
@@ -115,17 +149,38 @@ class PieceEncoder:
             got = self.young[signs] = self._whole(signs)
         return got
 
-    def _lines(self, piece: str) -> bytes:
-        """Ids of a piece in which single line ends join runs."""
-        parts = piece.split("\n")
-        if parts[0] == parts[0].rstrip() and all(p and p == p.strip() for p in parts[1:]) \
-                and parts[0].strip():
-            return self._run_of_signs("\n").join(map(self._run, parts))
-        return self._whole(piece)
+    def _joined(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece. All end with a character other than white space and begin
+        with one, or with a blank and one; those without the blank are led by a line end."""
+        led = [p if p[0] == " " else "\n" + p for p in pieces]
+        text = "".join(led)
+        ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids,
+                       dtype=np.uint32)
+        stops = np.cumsum([len(p.encode("utf-8")) for p in led])
+        ends = np.cumsum(self.n_bytes[ids])
+        # A byte that the vocabulary lacks, or the literal of an added token across pieces.
+        if len(ids) == 0 or ends[-1] != stops[-1] or any(x in text for x in self.literals):
+            return [self._whole(p) for p in pieces]
+        to = np.searchsorted(ends, stops, side="right")
+        lead = np.array([p[0] != " " for p in pieces])
+        begin, raw = np.concatenate([[0], to[:-1]]) + lead, ids.tobytes()
+        return [raw[4 * a:4 * b] for a, b in zip(begin.tolist(), to.tolist(), strict=True)]
+
+    def _new(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each of these pieces, none of which is in the cache."""
+        if not self.keep_blanks:
+            return [self._piece(p) for p in pieces]
+        got: list[bytes | None] = [None] * len(pieces)
+        joined = [i for i, p in enumerate(pieces)
+                  if (core := p.strip()) and p[p[0] == " ":] == core]
+        held = np.cumsum([len(pieces[i]) for i in joined], dtype=np.int64) // JOINED
+        for part in np.split(np.array(joined, dtype=np.int64), np.flatnonzero(np.diff(held)) + 1):
+            here = part.tolist()
+            for i, x in zip(here, self._joined([pieces[i] for i in here]), strict=True):
+                got[i] = x
+        return [self._whole(p) if x is None else x for p, x in zip(pieces, got, strict=True)]
 
     def _piece(self, piece: str) -> bytes:
-        if self.keep_blanks:
-            return self._lines(piece) if "\n" in piece else self._run(piece)
         word = piece.strip(" \t\n\x0b\x0c\r")
         if word.isalpha() and max(word) <= "\xff":
             return self._letters(word.lower())
@@ -133,23 +188,27 @@ class PieceEncoder:
 
     def _pieces(self, data: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Places in ``data`` where a piece begins, for texts that end at ``ends``."""
+        texts = ends[:-1][np.diff(ends) > 0]
         if self.keep_blanks:
-            cuts = np.flatnonzero(data[1:] == 32) + 1
-            # Not within a run of white space, and (to be safe) not after bytes
-            # that may end a white-space character beyond ASCII.
-            last, prior = data[cuts - 1], data[np.maximum(cuts - 2, 0)]
-            run = (last <= 32) | ((last >= 0x80) & ((prior == 0xC2) | (prior == 0x80)
-                                                    | (prior == 0x81) | (prior == 0x9A)))
-            cuts = cuts[~run]
-        else:
-            letter, sign = _LETTER[data], _SIGN[data]
-            begins, ends_letter = letter.copy(), letter
-            latin = _latin_letters(data)
-            begins[latin], ends_letter[latin + 1] = True, True
-            cut = (data == 32) | ((data >= 9) & (data <= 13))
-            cut[1:] |= (ends_letter[:-1] & sign[1:]) | (sign[:-1] & begins[1:])
-            cuts = np.flatnonzero(cut)
-        starts = np.sort(np.concatenate([ends[:-1][np.diff(ends) > 0], cuts]), kind="stable")
+            kind = _KIND[data]
+            tells = _NEIGHBOURS[(kind[:-1] << 4) | kind[1:]]
+            tells[texts[texts > 0] - 1] = 0
+            cut = np.zeros(len(data) + 1, dtype=bool)
+            cut[1:-1] = tells & _CUT
+            cut[:-2] |= (tells & _CUT_BEFORE) > 0
+            # Not (to be safe) after bytes that may end a white-space character beyond ASCII.
+            unsure = np.flatnonzero(tells & _CUT_UNSURE)
+            prior = data[np.maximum(unsure - 1, 0)]
+            cut[unsure + 1] = (prior != 0xC2) & (prior != 0x80) & (prior != 0x81) & (prior != 0x9A)
+            cut[texts] = True
+            return np.flatnonzero(cut)
+        letter, sign = _LETTER[data], _SIGN[data]
+        begins, ends_letter = letter.copy(), letter
+        latin = _latin_letters(data)
+        begins[latin], ends_letter[latin + 1] = True, True
+        cut = (data == 32) | ((data >= 9) & (data <= 13))
+        cut[1:] |= (ends_letter[:-1] & sign[1:]) | (sign[:-1] & begins[1:])
+        starts = np.sort(np.concatenate([texts, np.flatnonzero(cut)]), kind="stable")
         return starts[np.diff(starts, prepend=-1) > 0]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -188,12 +247,17 @@ class PieceEncoder:
             pa.py_buffer(np.ascontiguousarray(data)))
         coded = pieces.dictionary_encode()
         idx = coded.indices.to_numpy(zero_copy_only=False)
-        young, distinct = self.young, []
-        for p in coded.dictionary.to_numpy(zero_copy_only=False).tolist():
-            got = young.get(p)
+        words, young, new = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), self.young, []
+        distinct = list(map(young.get, words))
+        for i, got in enumerate(distinct):
             if got is None:
-                got = young[p] = self.old.get(p) or self._piece(p)
-            distinct.append(got)
+                got = distinct[i] = self.old.get(words[i])
+                if got is None:
+                    new.append(i)
+                else:
+                    young[words[i]] = got
+        for i, got in zip(new, self._new([words[i] for i in new]), strict=True):
+            distinct[i] = young[words[i]] = got
         pool = np.frombuffer(b"".join(distinct), np.uint32)
         sizes = np.fromiter(map(len, distinct), np.int64, len(distinct)) // 4
         at = np.cumsum(sizes) - sizes
